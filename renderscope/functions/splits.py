@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renderscope.session import split_bits
+from renderscope.session import split_bits, staged
 
 RANGE = "_range"
 
@@ -46,11 +46,12 @@ def running_totals(
 ) -> DataFrame:
     """Add, per row, the sum of each measure over the earlier rows of its key.
 
-    ``order`` is unique within a key.  ``totals`` adds whole-key sums.
+    ``order`` is unique within a key.  ``totals`` adds whole-key sums.  The
+    input is staged, since the cuts, the ranges and the rows each read it.
     """
     keys = list(keys)
     totals = totals or {}
-    ranged = split_ranges(df, order)
+    ranged = split_ranges(staged(df), order)
     earlier = Window.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -96,7 +97,7 @@ def previous_rows(
     ``columns`` maps new names to source columns.
     """
     keys = list(keys)
-    ranged = split_ranges(df, order)
+    ranged = split_ranges(staged(df), order)
     beside = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
     within = Window.partitionBy(*keys, RANGE).orderBy(order)
@@ -121,7 +122,7 @@ def rank_table(
 
     Columns: keys, value, ``cnt`` (tied rows), ``below`` (rows with a lower
     value), ``level`` (0-based distinct position), ``n``, ``n_levels`` and
-    ``avg_rank``.
+    ``avg_rank``.  With ``weight`` the rows of ``df`` are counted cells.
     """
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
     tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.alias("cnt"))
@@ -136,6 +137,20 @@ def rank_table(
     return ranked.withColumn("avg_rank", F.col("below") + (F.col("cnt") + 1) / F.lit(2.0))
 
 
+def side_ranks(cells: DataFrame, keys: Sequence[str], sides: Sequence[str], weight: str) -> DataFrame:
+    """Rank tables of several columns at once: ``side`` names the column, ``value`` its value."""
+    long = cells.select(*keys, weight, *[F.col(s).cast("double").alias(s) for s in sides]).unpivot(
+        [*keys, weight], list(sides), "side", "value"
+    )
+    return staged(rank_table(long, [*keys, "side"], "value", weight))
+
+
+def join_side(df: DataFrame, table: DataFrame, keys: Sequence[str], side: str, *columns: Column) -> DataFrame:
+    """Attach columns of one side's rank table to the rows with that value."""
+    own = table.where(F.col("side") == side).select(*keys, F.col("value").alias(side), *columns)
+    return df.join(own, [*keys, side])
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFrame:
     """First k rows of each key.
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renderscope.functions.distributions import correlation_p, kendall_p
-from renderscope.functions.splits import rank_table, running_totals
+from renderscope.functions.splits import join_side, running_totals, side_ranks
+from renderscope.session import staged
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
@@ -21,13 +22,14 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 
 def value_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Distinct value pairs with their count; pairs with a missing side are dropped."""
-    return (
+    """Distinct value pairs with their count, staged; pairs with a missing side are dropped."""
+    cells = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .groupBy(*keys, "x", "y")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    return staged(cells)
 
 
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -37,28 +39,30 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _rank_sums(cells: DataFrame, keys: Sequence[str], sides: Sequence[str]) -> DataFrame:
+def rank_sides(cells: DataFrame, keys: Sequence[str], sides: Sequence[str] = ("x", "y")) -> DataFrame:
+    return side_ranks(cells, keys, sides, "cnt")
+
+
+def _centred(cells: DataFrame, table: DataFrame, keys: Sequence[str], sides: Sequence[str]) -> DataFrame:
     """Cells with a centred average rank per side; exact in doubles."""
-    ranked = cells
     for side in sides:
-        table = rank_table(cells, keys, side, "cnt").select(
-            *keys, side, "n", (F.col("avg_rank") - (F.col("n") + 1) / F.lit(2.0)).alias(f"r{side}")
-        )
-        ranked = ranked.join(table.drop("n") if side != sides[0] else table, [*keys, side])
-    return ranked
+        rank = (F.col("avg_rank") - (F.col("n") + 1) / F.lit(2.0)).alias(f"r{side}")
+        cells = join_side(cells, table, keys, side, rank)
+    return cells
 
 
 def spearman(
     df: DataFrame, keys: Sequence[str], x: str, y: str, *, min_n: int = 3, out: str = "spearman_rho"
 ) -> DataFrame:
     """Rank correlation per key; NULL below ``min_n`` rows or with a constant side."""
-    return spearman_cells(value_cells(df, keys, x, y), keys, min_n=min_n, out=out)
+    cells = value_cells(df, keys, x, y)
+    return spearman_cells(cells, rank_sides(cells, keys), keys, min_n=min_n, out=out)
 
 
 def spearman_cells(
-    cells: DataFrame, keys: Sequence[str], *, min_n: int = 3, out: str = "spearman_rho"
+    cells: DataFrame, table: DataFrame, keys: Sequence[str], *, min_n: int = 3, out: str = "spearman_rho"
 ) -> DataFrame:
-    ranked = _rank_sums(cells, keys, ["x", "y"])
+    ranked = _centred(cells, table, keys, ["x", "y"])
     w, rx, ry = F.col("cnt"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy(*keys).agg(
         F.sum("cnt").alias("n"),
@@ -70,7 +74,7 @@ def spearman_cells(
     return sums.select(*keys, "n", F.when(F.col("n") >= min_n, rho).alias(out))
 
 
-def pair_order(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def pair_order(cells: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Concordant, discordant and tied pair counts without forming pairs.
 
     Two rows with x levels a < b part at the highest bit where a and b differ:
@@ -80,14 +84,13 @@ def pair_order(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows x log2(levels), and nodes are split by y ranges.
     """
     keys = list(keys)
-    level_x = rank_table(cells, keys, "x", "cnt").select(*keys, "x", "level", "n_levels", "cnt")
     node = [*keys, "_bit", "_prefix"]
     bits = F.when(
         F.col("n_levels") > 1, F.sequence(F.lit(0), F.length(F.bin(F.col("n_levels") - 1)) - 1)
     ).otherwise(F.array().cast("array<int>"))
     upper = F.expr("(shiftright(level, _bit) & 1) = 1")
     nodes = (
-        cells.join(level_x.drop("cnt"), [*keys, "x"])
+        join_side(cells, table, keys, "x", F.col("level"), F.col("n_levels"))
         .withColumn("_bit", F.explode(bits))
         .withColumn("_prefix", F.expr("shiftright(level, _bit + 1)"))
         .groupBy(*node, "y")
@@ -101,14 +104,9 @@ def pair_order(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys)
         .agg(F.sum(F.col("_high") * F.col("_below")).alias("concordant"))
     )
-    ties = None
-    for kind, table in (
-        ("x", level_x),
-        ("y", cells.groupBy(*keys, "y").agg(F.sum("cnt").alias("cnt"))),
-        ("xy", cells),
-    ):
-        part = table.select(*keys, F.lit(kind).alias("_kind"), "cnt")
-        ties = part if ties is None else ties.unionByName(part)
+    ties = table.select(*keys, F.col("side").alias("_kind"), "cnt").unionByName(
+        cells.select(*keys, F.lit("xy").alias("_kind"), "cnt")
+    )
     t = F.col("cnt")
     td = t.cast("double")
 
@@ -134,9 +132,8 @@ def pair_order(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def kendall(cells: DataFrame, keys: Sequence[str], *, with_p: bool = False) -> DataFrame:
-    """Kendall tau-b, and its two-sided p if asked for."""
-    counts = pair_order(cells, keys)
+def kendall(counts: DataFrame, keys: Sequence[str], *, with_p: bool = False) -> DataFrame:
+    """Kendall tau-b from the pair counts, and its two-sided p if asked for."""
     lead = (F.col("concordant") - F.col("discordant")).cast("double")
     open_x = (F.col("pairs") - F.col("ties_x")).cast("double")
     open_y = (F.col("pairs") - F.col("ties_y")).cast("double")
@@ -157,9 +154,7 @@ def kendall(cells: DataFrame, keys: Sequence[str], *, with_p: bool = False) -> D
     return out.withColumn("kendall_p", p).select(*keys, "n", "kendall_tau", "kendall_p")
 
 
-def order_accuracy(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """How often the rating orders a pair as the divergence does."""
-    counts = pair_order(value_cells(df, keys, x, y), keys)
+def accuracy(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     comparable = F.col("concordant") + F.col("discordant")
     return counts.select(
         *keys,
@@ -171,19 +166,32 @@ def order_accuracy(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
     )
 
 
+def order_accuracy(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """How often the rating orders a pair as the divergence does."""
+    cells = value_cells(df, keys, x, y)
+    return accuracy(pair_order(cells, rank_sides(cells, keys), keys), keys)
+
+
 def association(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, *, with_p: bool = False
+    df: DataFrame, keys: Sequence[str], x: str, y: str, *, with_p: bool = False, pairs: bool = False
 ) -> DataFrame:
-    """n, Pearson, Spearman and Kendall per key, with two-sided p on request."""
+    """n, Pearson, Spearman and Kendall per key.
+
+    ``with_p`` adds two-sided p-values, ``pairs`` the pair-order counts.
+    """
+    keys = list(keys)
     cells = value_cells(df, keys, x, y)
-    bundle = (
-        pearson(df, keys, x, y)
-        .join(spearman_cells(cells, keys).drop("n"), list(keys), "left")
-        .join(kendall(cells, keys, with_p=with_p).drop("n"), list(keys), "left")
+    table = rank_sides(cells, keys)
+    counts = pair_order(cells, table, keys)
+    counts = staged(counts) if pairs else counts
+    linear = pearson(df, keys, x, y)
+    bundle = linear.join(spearman_cells(cells, table, keys).drop("n"), keys).join(
+        kendall(counts, keys, with_p=with_p).drop("n"), keys
     )
+    if pairs:
+        bundle = bundle.join(accuracy(counts, keys), keys)
     if with_p:
-        for name in ("pearson", "spearman"):
-            r = "pearson_r" if name == "pearson" else "spearman_rho"
+        for name, r in (("pearson", "pearson_r"), ("spearman", "spearman_rho")):
             bundle = bundle.withColumn(f"{name}_p", correlation_p(F.col(r), F.col("n")))
     return bundle
 
@@ -201,8 +209,8 @@ def partial_rank(
     complete = df.dropna(subset=[x, y, control]).select(
         *keys, *[F.col(c).cast("double").alias(a) for a, c in zip("xyz", (x, y, control))]
     )
-    cells = complete.groupBy(*keys, "x", "y", "z").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = _rank_sums(cells, keys, ["x", "y", "z"])
+    cells = staged(complete.groupBy(*keys, "x", "y", "z").agg(F.count(F.lit(1)).alias("cnt")))
+    ranked = _centred(cells, rank_sides(cells, keys, ["x", "y", "z"]), keys, ["x", "y", "z"])
     w = F.col("cnt")
     products = {
         a + b: F.sum(w * F.col(f"r{a}") * F.col(f"r{b}")).alias(a + b)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from renderscope.plans import ratings  # noqa: F401
+from renderscope.plans import ratings, stats  # noqa: F401
 from renderscope.plans.registry import QUERIES, SQL  # noqa: F401

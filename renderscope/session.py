@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SPLIT_BITS_CONF = "renderscope.split.bits"
@@ -56,3 +57,15 @@ def split_bits(spark: SparkSession) -> int:
         return int(set_bits)
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return min(12, max(2, math.ceil(math.log2(max(width, 2)))))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder and go on from there.
+
+    For tables that several branches of a plan read: they are computed once,
+    survive the loss of executors, and their true size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
