@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from renderscope.functions.stemming import stemmed, stemmed_long_words
-from renderscope.functions.text import tokens
+from renderscope.functions.text import nfkc, tokens
 
 SEPARATOR = "\u0001"
 # The "13a" tokeniser, as replacements in order.
@@ -36,18 +36,9 @@ def spread(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.repartition(key)
 
 
-def grams(items: Column, n: int) -> Column:
-    """Word n-grams of a token array; none when it is shorter than n."""
-    starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
-    joined = items if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), SEPARATOR))
-    return F.when(F.size(items) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-
-def char_grams(text: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(
-        F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+def characters(text: Column) -> Column:
+    """Code points of a text as an array, so that each is found in constant time."""
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -81,36 +72,50 @@ def punctuation_split_words(text: Column) -> Column:
 
 
 def overlaps(
-    prepared: DataFrame, key: str, orders: Mapping[str, tuple[Column, Column]], keep: Sequence[str] = ()
+    prepared: DataFrame, key: str, families: Mapping[str, tuple[str, str, Sequence[int]]]
 ) -> DataFrame:
-    """Clipped gram overlap per order: ``<order>_m``, ``<order>_c`` and ``<order>_r``.
+    """Clipped n-gram overlap: ``<family><n>_m``, ``_c`` and ``_r`` for each order.
 
-    ``prepared`` is already partitioned by ``key``; both aggregations are local.
+    A family names the candidate and reference item arrays and its orders.
+    ``prepared`` is already partitioned by ``key``: items are exploded, joined to
+    the items that follow them, and counted without another shuffle.
     """
-    def tagged(order: str, side: Column, is_candidate: int) -> Column:
-        return F.transform(
-            side,
-            lambda g: F.struct(
-                F.lit(order).alias("order"), g.alias("gram"),
-                F.lit(is_candidate).alias("c"), F.lit(1 - is_candidate).alias("r"),
-            ),
-        )
-
-    every = F.concat(
-        *[part for o, (c, r) in orders.items() for part in (tagged(o, c, 1), tagged(o, r, 0))]
+    widest = {f: max(orders) for f, (_, _, orders) in families.items()}
+    texts = F.array(
+        *[
+            F.struct(F.lit(f).alias("family"), F.lit(int(is_c)).alias("is_c"), F.col(column).alias("items"))
+            for f, (c, r, _) in families.items()
+            for column, is_c in ((c, True), (r, False))
+        ]
+    )
+    items = (
+        prepared.select(key, F.explode(texts).alias("_t"))
+        .select(key, "_t.family", "_t.is_c", F.posexplode_outer("_t.items").alias("pos", "w0"))
     )
+    onward = Window.partitionBy(key, "family", "is_c").orderBy("pos")
+    reach = max(widest.values())
+    items = items.select("*", *[F.lead("w0", k).over(onward).alias(f"w{k}") for k in range(1, reach)])
+
+    def gram(n: int) -> Column:
+        wanted = [f for f, (_, _, orders) in families.items() if n in orders]
+        whole = F.col(f"w{n - 1}").isNotNull() & F.col("family").isin(*wanted)
+        return F.when(whole, F.concat_ws(SEPARATOR, *[f"w{k}" for k in range(n)]))
+
+    orders = sorted({n for _, _, wanted in families.values() for n in wanted})
+    every = F.array(*[F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in orders])
     counted = (
-        prepared.select(key, *keep, F.explode_outer(every).alias("_g"))
-        .select(key, *keep, "_g.*")
-        .groupBy(key, *keep, "order", "gram")
-        .agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+        items.select(key, "family", "is_c", F.explode(every).alias("_g"))
+        .groupBy(key, "family", "_g.n", "_g.gram")
+        .agg(F.sum("is_c").alias("c"), F.sum(1 - F.col("is_c")).alias("r"))
+        .select(key, "family", "n", "gram", *[F.when(F.col("gram").isNotNull(), F.col(v)).alias(v) for v in "cr"])
     )
     sums = []
-    for o in orders:
-        here = F.col("order") == o
-        for name, value in (("m", F.least("c", "r")), ("c", F.col("c")), ("r", F.col("r"))):
-            sums.append(F.coalesce(F.sum(F.when(here, value)), F.lit(0)).alias(f"{o}_{name}"))
-    return counted.groupBy(key, *keep).agg(*sums)
+    for f, (_, _, wanted) in families.items():
+        for n in wanted:
+            here = (F.col("family") == f) & (F.col("n") == n)
+            for name, value in (("m", F.least("c", "r")), ("c", F.col("c")), ("r", F.col("r"))):
+                sums.append(F.coalesce(F.sum(F.when(here, value)), F.lit(0)).alias(f"{f}{n}_{name}"))
+    return counted.groupBy(key).agg(*sums)
 
 
 def f1(order: str) -> Column:
@@ -126,8 +131,11 @@ def jaccard(order: str) -> Column:
 
 
 def _tokenised(pairs: DataFrame, key: str) -> DataFrame:
-    return spread(pairs, key).select(
-        key, tokens(F.col("candidate")).alias("_c"), tokens(F.col("reference")).alias("_r")
+    """Token arrays by pair.  The Arrow step comes before the spread, as it forgets a partitioning."""
+    plain = pairs.select(key, *[nfkc(F.col(side)).alias(side) for side in ("candidate", "reference")])
+    return spread(plain, key).select(
+        key,
+        *[tokens(F.col(side), compatibility=False).alias(f"_{side[0]}") for side in ("candidate", "reference")],
     )
 
 
@@ -139,8 +147,7 @@ def token_counts(pairs: DataFrame, key: str) -> DataFrame:
 
 def ngram_scores(pairs: DataFrame, key: str, orders: Sequence[int] = (1, 3)) -> DataFrame:
     """Word n-gram F1 and Jaccard for each order."""
-    both = {f"n{n}": (grams(F.col("_c"), n), grams(F.col("_r"), n)) for n in orders}
-    counts = overlaps(_tokenised(pairs, key), key, both)
+    counts = overlaps(_tokenised(pairs, key), key, {"n": ("_c", "_r", orders)})
     return counts.select(
         key,
         *[f1(f"n{n}").alias(f"ngram{n}_f1") for n in orders],
@@ -151,10 +158,10 @@ def ngram_scores(pairs: DataFrame, key: str, orders: Sequence[int] = (1, 3)) ->
 def char_ngram_f1(pairs: DataFrame, key: str, n: int = 3) -> DataFrame:
     """Character n-gram F1 over the joined tokens."""
     joined = _tokenised(pairs, key).select(
-        key, F.array_join("_c", "").alias("_c"), F.array_join("_r", "").alias("_r")
+        key, *[characters(F.array_join(side, "")).alias(side) for side in ("_c", "_r")]
     )
-    counts = overlaps(joined, key, {"g": (char_grams(F.col("_c"), n), char_grams(F.col("_r"), n))})
-    return counts.select(key, f1("g").alias(f"char{n}_f1"))
+    counts = overlaps(joined, key, {"g": ("_c", "_r", [n])})
+    return counts.select(key, f1(f"g{n}").alias(f"char{n}_f1"))
 
 
 def bleu_from(max_n: int = 4) -> Column:
@@ -178,8 +185,7 @@ def bleu4(pairs: DataFrame, key: str) -> DataFrame:
     prepared = spread(pairs, key).select(
         key, tokens_13a(F.col("candidate")).alias("_c"), tokens_13a(F.col("reference")).alias("_r")
     )
-    orders = {f"b{n}": (grams(F.col("_c"), n), grams(F.col("_r"), n)) for n in range(1, 5)}
-    counts = overlaps(prepared, key, orders)
+    counts = overlaps(prepared, key, {"b": ("_c", "_r", range(1, 5))})
     return counts.select(key, bleu_from().alias("bleu4"))
 
 
@@ -201,16 +207,13 @@ def chrf_score() -> Column:
 def chrfpp(pairs: DataFrame, key: str) -> DataFrame:
     prepared = spread(pairs, key).select(
         key,
-        *[F.regexp_replace(side, r"(?U)\s+", "").alias(f"_{side[0]}x") for side in ("candidate", "reference")],
+        *[characters(F.regexp_replace(side, r"(?U)\s+", "")).alias(f"_{side[0]}x") for side in ("candidate", "reference")],
         *[punctuation_split_words(F.col(side)).alias(f"_{side[0]}w") for side in ("candidate", "reference")],
     )
-    orders = {
-        f"x{n}": (char_grams(F.col("_cx"), n), char_grams(F.col("_rx"), n))
-        for n in range(1, CHRF_CHAR_ORDER + 1)
-    } | {
-        f"w{n}": (grams(F.col("_cw"), n), grams(F.col("_rw"), n)) for n in range(1, CHRF_WORD_ORDER + 1)
+    families = {
+        "x": ("_cx", "_rx", range(1, CHRF_CHAR_ORDER + 1)), "w": ("_cw", "_rw", range(1, CHRF_WORD_ORDER + 1))
     }
-    return overlaps(prepared, key, orders).select(key, chrf_score().alias("chrfpp"))
+    return overlaps(prepared, key, families).select(key, chrf_score().alias("chrfpp"))
 
 
 def _codes(left, right) -> tuple[np.ndarray, np.ndarray]:
@@ -279,17 +282,13 @@ def meteor(pairs: DataFrame, key: str, *, stem: bool = True) -> DataFrame:
     """
     prepared = _tokenised(pairs, key)
     sizes = prepared.select(key, F.size("_c").alias("_nc"), F.size("_r").alias("_nr"))
-    placed = prepared.select(
-        key,
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(f"_{s}", lambda t, i, s=s: F.struct(F.lit(s).alias("side"), i.alias("pos"), t.alias("form")))
-                    for s in ("c", "r")
-                ]
-            )
-        ).alias("_t"),
-    ).select(key, "_t.*")
+
+    def uses(side: str) -> Column:
+        return F.transform(
+            f"_{side}", lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("form"))
+        )
+
+    placed = prepared.select(key, F.explode(F.concat(uses("c"), uses("r"))).alias("_t")).select(key, "_t.*")
 
     def align(rows: DataFrame) -> DataFrame:
         from_end = Window.partitionBy(key, "side", "form").orderBy(F.desc("pos"))
