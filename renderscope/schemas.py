@@ -22,7 +22,7 @@ BENCHMARK_CELLS = (
     "provider string, profile_name string, model_display_name string, release_date date, "
     "prompt_version int, pair_count int, mean_lexical double"
 )
-EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def score_file(metrics: list[str]) -> str:
