@@ -30,7 +30,9 @@ def csv_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
     rows = csv_rows(df, columns or df.columns)
-    rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", "\"").option(
+        "nullValue", ""
+    ).option("emptyValue", "").csv(path)
 
 
 def write_csv_union(path: str, *tables: DataFrame) -> None:
