@@ -1,7 +1,8 @@
 """Ordered computations over groups of any size.
 
 A plain ``Window.partitionBy(key).orderBy(v)`` sends a whole key to one task.
-Here the order column is first cut into ranges by approximate quantiles of the
+That is right while the largest key is small, and the size is checked first.
+Beyond it the order column is cut into ranges by approximate quantiles of the
 whole table, so a key that holds a third of all rows is spread over a third of
 the ranges.  Each range is worked on its own, and the effect of the lower
 ranges arrives as one small row per (key, range).  Results do not depend on
@@ -17,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renderscope.session import split_bits, staged
+from renderscope.session import split_bits, split_rows, staged
 
 RANGE = "_range"
 
@@ -37,6 +38,12 @@ def split_ranges(df: DataFrame, order: str, bits: int | None = None) -> DataFram
     return df.withColumn("_cuts", cuts).withColumn(RANGE, at_range).drop("_cuts")
 
 
+def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the largest key of a staged table may be ordered by one task."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= split_rows(df.sparkSession)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,7 +58,15 @@ def running_totals(
     """
     keys = list(keys)
     totals = totals or {}
-    ranged = split_ranges(staged(df), order)
+    rows = staged(df)
+    if fits_one_task(rows, keys):
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(
+            *df.columns,
+            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(n) for n, m in measures.items()],
+            *[F.sum(m).over(Window.partitionBy(*keys)).alias(n) for n, m in totals.items()],
+        )
+    ranged = split_ranges(rows, order)
     earlier = Window.partitionBy(*keys, RANGE).orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -97,8 +112,12 @@ def previous_rows(
     ``columns`` maps new names to source columns.
     """
     keys = list(keys)
-    ranged = split_ranges(staged(df), order)
+    rows = staged(df)
     beside = F.lead if following else F.lag
+    if fits_one_task(rows, keys):
+        w = Window.partitionBy(*keys).orderBy(order)
+        return rows.select(*df.columns, *[beside(src).over(w).alias(new) for new, src in columns.items()])
+    ranged = split_ranges(rows, order)
     edge = F.min_by if following else F.max_by
     within = Window.partitionBy(*keys, RANGE).orderBy(order)
     carried = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])

@@ -135,9 +135,10 @@ def stem(word: str) -> str:
     return _tidy(_strip(_fold(_double_suffix(word))))
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(word: pd.Series) -> pd.Series:
-    return word.map(lambda w: None if w is None else stem(w))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed(words: pd.Series) -> pd.Series:
+    """Stems of a token list."""
+    return words.map(lambda ws: [stem(w) for w in ws])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

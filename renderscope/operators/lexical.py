@@ -278,51 +278,72 @@ def meteor(pairs: DataFrame, key: str, *, stem: bool = True) -> DataFrame:
     """METEOR without synonyms: exact, then stem alignment; both match from the end.
 
     The n-th last use of a form on one side meets the n-th last use on the other,
-    so an alignment stage is one aggregation on (pair, form, n).
+    so an alignment stage is one window and one aggregation on (pair, form, n).
+    Stems are found on whole token lists before the spread; the stages after it
+    stay where they are.
     """
     prepared = _tokenised(pairs, key)
-    sizes = prepared.select(key, F.size("_c").alias("_nc"), F.size("_r").alias("_nr"))
+    if stem:
+        prepared = spread(
+            prepared.select("*", *[stemmed(f"_{s}").alias(f"_stem_{s}") for s in ("c", "r")]), key
+        )
 
     def uses(side: str) -> Column:
-        return F.transform(
-            f"_{side}", lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), t.alias("form"))
+        forms = F.arrays_zip(
+            F.col(f"_{side}").alias("form"), F.col(f"_stem_{side}" if stem else f"_{side}").alias("stem")
         )
+        return F.struct(F.lit(side).alias("side"), forms.alias("forms"))
 
-    placed = prepared.select(key, F.explode(F.concat(uses("c"), uses("r"))).alias("_t")).select(key, "_t.*")
+    sizes = [F.size("_c").alias("_nc"), F.size("_r").alias("_nr")]
+    placed = (
+        prepared.select(key, *sizes, F.explode(F.array(uses("c"), uses("r"))).alias("_t"))
+        .select(key, "_nc", "_nr", "_t.side", F.posexplode_outer("_t.forms").alias("pos", "_f"))
+        .select(key, "_nc", "_nr", "side", "pos", "_f.form", "_f.stem")
+    )
+    pair = [key, "_nc", "_nr"]
 
-    def align(rows: DataFrame) -> DataFrame:
-        from_end = Window.partitionBy(key, "side", "form").orderBy(F.desc("pos"))
+    def align(rows: DataFrame, form: str, *carry: Column) -> DataFrame:
+        """One row per (pair, form, n-th last use), with the position on either side."""
+        from_end = Window.partitionBy(key, "side", form).orderBy(F.desc("pos"))
+        at = {s: F.max(F.when(F.col("side") == s, F.col("pos"))).alias(f"_{s}") for s in ("c", "r")}
         return (
-            rows.withColumn("_k", F.row_number().over(from_end))
-            .groupBy(key, "form", "_k")
-            .agg(*[F.max(F.when(F.col("side") == s, F.col("pos"))).alias(f"_{s}") for s in ("c", "r")])
+            rows.withColumn("_k", F.row_number().over(from_end)).groupBy(*pair, form, "_k").agg(*at.values(), *carry)
         )
 
-    exact = align(placed)
-    met = exact.where("_c is not null and _r is not null").select(key, "_c", "_r")
+    met = align(placed, "form", F.first("stem").alias("stem"))
     if stem:
-        left_over = exact.where("_c is null or _r is null").select(
-            key,
-            F.when(F.col("_c").isNotNull(), "c").otherwise("r").alias("side"),
+        # A met pair goes on as one row of its own; the others try again by stem.
+        both = F.col("_c").isNotNull() & F.col("_r").isNotNull()
+        again = met.select(
+            *pair,
+            F.when(both, "m").when(F.col("_c").isNotNull(), "c").otherwise("r").alias("side"),
             F.coalesce("_c", "_r").alias("pos"),
-            stemmed("form").alias("form"),
-        )
-        met = met.unionByName(
-            align(left_over).where("_c is not null and _r is not null").select(key, "_c", "_r")
+            F.when(both, F.col("_r")).alias("_other"),
+            F.when(both, F.concat(F.lit(SEPARATOR), F.col("_c").cast("string"))).otherwise(F.col("stem")).alias("stem"),
         )
-    in_order = Window.partitionBy(key).orderBy("_c")
+        side = F.col("side")
+        met = align(
+            again,
+            "stem",
+            F.max(F.when(side == "m", F.col("pos"))).alias("_mc"),
+            F.max(F.when(side == "m", F.col("_other"))).alias("_mr"),
+        ).select(*pair, F.coalesce("_mc", "_c").alias("_c"), F.coalesce("_mr", "_r").alias("_r"))
+    met = met.select(*pair, "_c", "_r")
+    found = F.col("_c").isNotNull() & F.col("_r").isNotNull()
+    in_order = Window.partitionBy(key, "_found").orderBy("_c")
     follows = (F.col("_c") == F.lag("_c").over(in_order) + 1) & (F.col("_r") == F.lag("_r").over(in_order) + 1)
     chunks = (
-        met.withColumn("_new", F.when(follows, 0).otherwise(1))
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_m"), F.sum("_new").alias("_chunks"))
+        met.withColumn("_found", found)
+        .withColumn("_new", F.when(F.col("_found") & ~F.coalesce(follows, F.lit(False)), 1))
+        .groupBy(*pair)
+        .agg(F.count_if("_found").alias("_m"), F.count("_new").alias("_chunks"))
     )
     m = F.col("_m")
     precision, recall = m / F.col("_nc"), m / F.col("_nr")
     mean = precision * recall / (METEOR_ALPHA * precision + (1 - METEOR_ALPHA) * recall)
     penalty = METEOR_GAMMA * F.pow(F.col("_chunks") / m, F.lit(METEOR_BETA))
     score = F.when(m > 0, (1 - penalty) * mean).otherwise(0.0)
-    return sizes.join(chunks, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("meteor"))
+    return chunks.select(key, score.alias("meteor"))
 
 
 def pair_scores(pairs: DataFrame, key: str) -> DataFrame:

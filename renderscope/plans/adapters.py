@@ -100,7 +100,7 @@ def document_population(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").repartition("doc_id")
     t = docs.select("doc_id", "lang", "source", "n_chars", tokens(F.col("text")).alias("t"))
     words = F.size("t")
-    letters = F.aggregate("t", F.lit(0), lambda a, x: a + F.length(x))
+    letters = F.length(F.array_join("t", ""))
     return t.select(
         F.col("doc_id").alias("passage_id"),
         "lang",

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SPLIT_BITS_CONF = "renderscope.split.bits"
+SPLIT_ROWS_CONF = "renderscope.split.rows"
+SPLIT_ROWS_DEFAULT = 1_000_000
 
 
 def local_session(cores: int | str = "*", name: str = "renderscope") -> SparkSession:
@@ -59,6 +61,11 @@ def split_bits(spark: SparkSession) -> int:
     return min(12, max(2, math.ceil(math.log2(max(width, 2)))))
 
 
+def split_rows(spark: SparkSession) -> int:
+    """Rows of one key that a single task may order; larger keys are split."""
+    return int(spark.conf.get(SPLIT_ROWS_CONF, str(SPLIT_ROWS_DEFAULT)))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and go on from there.
 
