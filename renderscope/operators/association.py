@@ -33,12 +33,28 @@ def value_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
 
 
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Linear correlation per key, in one pass."""
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return paired.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), guarded_corr(F.col(x), F.col(y)).alias("pearson_r")
     )
 
 
+def _linear(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Linear correlation from counted cells, around the means."""
+    w, x, y = F.col("cnt"), F.col("x"), F.col("y")
+    means = cells.groupBy(*keys).agg(
+        F.sum(w).alias("n"), (F.sum(w * x) / F.sum(w)).alias("_mx"), (F.sum(w * y) / F.sum(w)).alias("_my"),
+        (F.min(x) < F.max(x)).alias("_x_varies"), (F.min(y) < F.max(y)).alias("_y_varies"),
+    )
+    dx, dy = x - F.col("_mx"), y - F.col("_my")
+    sums = cells.join(means, list(keys)).groupBy(*keys, "n", "_x_varies", "_y_varies").agg(
+        F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
+    )
+    r = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
+    return sums.select(*keys, "n", F.when(F.col("_x_varies") & F.col("_y_varies"), r).alias("pearson_r"))
+
+
 def rank_sides(cells: DataFrame, keys: Sequence[str], sides: Sequence[str] = ("x", "y")) -> DataFrame:
     return side_ranks(cells, keys, sides, "cnt")
 
@@ -184,7 +200,7 @@ def association(
     table = rank_sides(cells, keys)
     counts = pair_order(cells, table, keys)
     counts = staged(counts) if pairs else counts
-    linear = pearson(df, keys, x, y)
+    linear = _linear(cells, keys)
     bundle = linear.join(spearman_cells(cells, table, keys).drop("n"), keys).join(
         kendall(counts, keys, with_p=with_p).drop("n"), keys
     )

@@ -13,15 +13,17 @@ from renderscope.functions.distributions import t_two_sided, t_upper_quantile
 def line_fit(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
     """Least squares per key in one pass: slope, intercept and residual deviation.
 
-    A constant x gives slope 0.  The residual deviation divides by n - 1.
+    A constant x gives slope 0.  The residual deviation divides by n - 1.  The
+    aggregates skip incomplete rows themselves; a filter would be pushed below
+    and repeat the work behind x and y.
     """
-    fit = df.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+    fit = df.groupBy(*keys).agg(
+        F.regr_count(y, x).alias("n"),
         F.regr_sxx(y, x).alias("_sxx"),
         F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"),
-        F.avg(x).alias("_mx"),
-        F.avg(y).alias("_my"),
+        F.regr_avgx(y, x).alias("_mx"),
+        F.regr_avgy(y, x).alias("_my"),
     )
     slope = F.coalesce(F.try_divide(F.col("_sxy"), F.col("_sxx")), F.lit(0.0))
     left = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))

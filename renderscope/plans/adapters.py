@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from renderscope.functions.text import tokens
 from renderscope.operators.ratings import latest
+from renderscope.session import staged
 from renderscope.sources.readers import read_table
 
 LOG = """log AS (
@@ -96,12 +97,12 @@ RATED = LATEST + ", " + POPULATION + """, rated AS (
 
 
 def document_population(spark: SparkSession, sf: str) -> DataFrame:
-    """Text measures per document: the metric population."""
+    """Text measures per document: the metric population, staged so texts are read once."""
     docs = read_table(spark, sf, "documents").repartition("doc_id")
     t = docs.select("doc_id", "lang", "source", "n_chars", tokens(F.col("text")).alias("t"))
     words = F.size("t")
     letters = F.length(F.array_join("t", ""))
-    return t.select(
+    measures = t.select(
         F.col("doc_id").alias("passage_id"),
         "lang",
         "source",
@@ -111,6 +112,7 @@ def document_population(spark: SparkSession, sf: str) -> DataFrame:
         F.try_divide(F.size(F.filter("t", lambda x: F.length(x) >= 8)), words).alias("long_share"),
         (words / F.col("n_chars")).alias("density"),
     )
+    return staged(measures)
 
 
 def rated(spark: SparkSession, sf: str) -> DataFrame:

@@ -249,7 +249,7 @@ SUMMARY_MEASURES = ["composite_resid_badness", "ttr", "mean_len", "log_words"]
 
 def _rated_residuals(spark, sf):
     """Rated rows with the length-adjusted composite, and the subsets they belong to."""
-    measures = staged(A.document_population(spark, sf))
+    measures = A.document_population(spark, sf)
     long = measures.unpivot(["passage_id", "reference_words"], list(A.METRICS), "metric", "score")
     models = regression.length_models(long, length="reference_words")
     scored = regression.residual_badness(long, models, length="reference_words")
