@@ -165,11 +165,12 @@ QUALITY_LONG = A.METRIC_LONG + """, graded AS (
 
 def _graded(spark, sf):
     """Text measures plus a label that only some passages have."""
-    base = A.metric_long(spark, sf).select("lang", "passage_id", "metric", "score")
+    population = A.document_population(spark, sf)
+    base = population.unpivot(["lang", "passage_id"], list(A.METRICS), "metric", "score")
     quality = read_table(spark, sf, "labels").select(
         F.col("doc_id").alias("passage_id"), F.col("quality").cast("double").alias("score")
     )
-    labelled = A.document_population(spark, sf).select("lang", "passage_id").join(quality, "passage_id", "left")
+    labelled = population.select("lang", "passage_id").join(quality, "passage_id", "left")
     return base.unionByName(labelled.withColumn("metric", F.lit("quality")))
 
 
