@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from renderscope.llm import exact_dedup, mixing, url_filter, warc
+from renderscope.llm import bpe, exact_dedup, mixing, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +97,17 @@ def op4_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_source_mix")
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    lengths = token_counts.token_lengths(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return token_counts.by_limit(token_counts.length_histogram(lengths))
+
+
+@query("op10_bpe_round_trip")
+def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(rows)
