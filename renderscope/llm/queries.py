@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from renderscope.llm import bpe, exact_dedup, mixing, token_counts, url_filter, warc
+from renderscope.llm import bpe, exact_dedup, mixing, quality, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,8 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return bpe.digests(rows)
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
