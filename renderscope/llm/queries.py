@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from renderscope.llm import bpe, exact_dedup, mixing, quality, token_counts, url_filter, warc
+from renderscope.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,9 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
