@@ -36,10 +36,10 @@ LEXICON_WORDS = 1 << 17
 #: Longer words are merged one at a time with a heap.
 LONG_WORD = 48
 #: Words that a task remembers, counts or merges at a time.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 MERGED_AT_ONCE = 1 << 15
 #: Characters of text that are in hand at a time.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 #: Letters and digits of Unicode 16.0 that Python's tables may lack.
 MORE_LETTERS = (
@@ -77,6 +77,9 @@ def _ranges(first: str, more: Iterable[tuple[int, int]]) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in [*runs, *more])
 
 
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+
+
 @lru_cache
 def _patterns() -> tuple[re.Pattern, re.Pattern, dict[int, int]]:
     letters, numbers = _ranges("L", MORE_LETTERS), _ranges("N", MORE_NUMBERS)
@@ -98,12 +101,14 @@ def chunks_of(text: str) -> list[str]:
 
 def words_of(text: str) -> list[str]:
     """Words as the tokenizer cuts them: composed, each character lower-cased by itself, white space dropped."""
+    if text.isascii():
+        return [text.lower()] if text.isalpha() else ASCII_WORD.findall(text.lower())
     word, rare, lower = _patterns()
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no word-final sigma
-        if rare.search(text):
-            text = text.translate(lower)
-    return word.findall(text.lower())
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no word-final sigma
+    if rare.search(text):
+        text = text.translate(lower)
+    text = text.lower()
+    return [text] if text.isalpha() else word.findall(text)
 
 
 # --- the vocabulary ------------------------------------------------------------
@@ -137,6 +142,9 @@ class Merges:
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made
         self.none = np.int32(len(pairs))
 
+    def token_names(self) -> list[str]:
+        return [self.names.get(i, "") for i in range(max(self.names) + 1)]
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the pair, or ``none``; negative ids are padding."""
         keys = a.astype(np.int64) << 20 | b
@@ -216,6 +224,11 @@ class Merges:
         return out
 
 
+def read_vocabulary(path: str) -> Merges:
+    with open(path, encoding="utf-8") as f:
+        return Merges(f.read())
+
+
 # --- the lexicon ---------------------------------------------------------------
 
 
@@ -336,11 +349,29 @@ class Lexicon:
 # --- Spark ---------------------------------------------------------------------
 
 
+class Places(dict):
+    """Number of each chunk; chunks seen for the first time get the next number and are noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = place = len(self)
+        self.new.append(chunk)
+        return place
+
+
 class Encoder:
     """What a task needs: merges, the mapped lexicon and the ids of chunks seen lately."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon) -> None:
-        self.merges, self.lexicon, self.seen = merges, lexicon, {}
+        self.merges, self.lexicon = merges, lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.at = Places()
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
 
     def ids_of(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Distinct words: through the lexicon, the rest merged."""
@@ -351,18 +382,34 @@ class Encoder:
         out.update(zip([words[i] for i in unseen], self.merges.merge([raw[i] for i in unseen]), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self) -> None:
+        special = self.merges.special
+        cut = [[c] if c in special else words_of(c) for c in self.at.new]
+        ids = self.ids_of(list({w for words in cut for w in words} - special.keys()))
+        ids.update({c: (i,) for c, i in special.items()})
+        lengths = np.fromiter((sum(len(ids[w]) for w in words) for words in cut), np.int64, len(cut))
+        flat = np.fromiter((i for words in cut for w in words for i in ids[w]), np.int32, int(lengths.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, flat])
+        self.at.new = []
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of each."""
+        if len(self.at) > REMEMBERED:
+            self.clear()
         cut = [special_chunks(t, self.merges.special) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        seen = self.seen
-        if not seen:
-            seen.update({s: (i,) for s, i in self.merges.special.items()})
-        new = {c: words_of(c) for c in set(chain.from_iterable(cut)) if c not in seen}
-        ids = self.ids_of(list(set(chain.from_iterable(new.values()))))
-        for chunk, words in new.items():
-            seen[chunk] = ids[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, words)))
-        return [list(chain.from_iterable(map(seen.__getitem__, chunks))) for chunks in cut]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        chunk = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self.at.new:
+            self._learn()
+        lengths = self.lengths[chunk]
+        ends = np.cumsum(lengths)
+        # Id k of the output is id (k - start of its chunk) of that chunk.
+        shift = np.repeat(self.starts[chunk] - (ends - lengths), lengths)
+        ids = self.ids[shift + np.arange(len(shift))]
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(before)
 
 
 def special_chunks(text: str, special: Iterable[str]) -> list[str]:
@@ -447,47 +494,57 @@ def encode(
     spells out get their own ids; none is added. One row per input row, repeated
     rows included; an empty table gives no rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    with open(vocabulary, encoding="utf-8") as f:
-        content = f.read()
-    merges = Merges(content)
-    name = lexicon_file(spark, docs, merges, text_col, lexicon_words)
-    shared = spark.sparkContext.broadcast(merges)  # the vocabulary: a fixed size of a few MB
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    merges = read_vocabulary(vocabulary)
+    name = lexicon_file(docs.sparkSession, docs, merges, text_col, lexicon_words)
+    return _encoded(docs, merges, name, id_col, text_col, with_text=False)
+
+
+def _encoded(
+    docs: DataFrame, merges: Merges, lexicon: str, id_col: str, text_col: str, with_text: bool
+) -> DataFrame:
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * with_text
+    shared = docs.sparkSession.sparkContext.broadcast(merges)  # the vocabulary: a fixed size of a few MB
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, Lexicon.mapped(SparkFiles.get(name)))
+        encoder = Encoder(shared.value, Lexicon.mapped(SparkFiles.get(lexicon)))
+        names = shared.value.token_names()
         for batch in batches:
             for start, texts in _slices(batch.column(1)):
-                ids = encoder.encode(texts)
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+                ids, lengths = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [batch.column(0).slice(start, len(texts)), lists]
+                if with_text:
+                    columns.append(decode(lists, names))
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encoded, "doc_id long, ids array<int>")
+    return rows.mapInArrow(encoded, "doc_id long, ids array<int>" + ", decoded string" * with_text)
+
+
+def decode(lists: pa.Array, names: list[str]) -> pa.Array:
+    """Text of each id sequence: the names of its tokens, joined by spaces."""
+    return pa.array([None if x is None else " ".join(map(names.__getitem__, x)) for x in lists.to_pylist()], pa.string())
 
 
 def decoded(spark: SparkSession, ids: Column | str, vocabulary: str) -> Column:
-    """Text of an id sequence: the names of its tokens, joined by spaces; null stays null."""
-    with open(vocabulary, encoding="utf-8") as f:
-        names = Merges(f.read()).names
-    shared = spark.sparkContext.broadcast([names.get(i, "") for i in range(max(names) + 1)])
+    """Text of a column of id sequences; null stays null."""
+    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary).token_names())
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        names = shared.value
-        return pa.array([None if x is None else " ".join([names[i] for i in x]) for x in lists.to_pylist()], pa.string())
+        return decode(lists, shared.value)
 
     return text(F.col(ids) if isinstance(ids, str) else ids)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, decoded: texts encoded and decoded again."""
-    ids = encode(docs, vocabulary, id_col, text_col)
-    return ids.withColumn("decoded", decoded(docs.sparkSession, "ids", vocabulary))
+def round_trip(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS
+) -> DataFrame:
+    """doc_id, ids, decoded: texts encoded, and the ids decoded again in the same pass."""
+    merges = read_vocabulary(vocabulary)
+    name = lexicon_file(docs.sparkSession, docs, merges, text_col, lexicon_words)
+    return _encoded(docs, merges, name, id_col, text_col, with_text=True)
 
 
 def digests(rows: DataFrame) -> DataFrame:
