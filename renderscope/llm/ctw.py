@@ -27,7 +27,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     for i in range(1, 8):
         shifted += np.log(x + i)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shifted
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - shifted
 
 
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ class Level:
         return np.where(self.nodes[at] == nodes, p, 0.5)
 
 
-def deepest(code: np.ndarray, count: np.ndarray, depth: int) -> Level:
+def deepest(code: np.ndarray, count: np.ndarray) -> Level:
     """Leaves of the trees from counted grams."""
     seen = count > 0
     nodes, bits = decisions(code[seen])
@@ -115,7 +115,7 @@ def deepest(code: np.ndarray, count: np.ndarray, depth: int) -> Level:
 
 def trees(code: np.ndarray, count: np.ndarray, depth: int, shallowest: int) -> list[Level]:
     """Levels from ``depth`` up to ``shallowest``."""
-    levels = [deepest(code, count, depth)]
+    levels = [deepest(code, count)]
     for d in range(depth, shallowest, -1):
         levels.append(Level(*levels[-1].parents(d)))
     return levels
