@@ -149,7 +149,7 @@ def _linked_groups(
     return dealt.mapInArrow(linked, "a binary, b binary")
 
 
-def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
     """Rows of a group dealt into blocks, once for every pair of blocks that theirs is part of."""
     own = F.pmod(F.xxhash64("v"), F.col("_blocks"))
     return (
@@ -192,15 +192,19 @@ def _place(tree: Column, level: int, branch: Column) -> Column:
 
 
 def _branched(rows: DataFrame, level: int) -> DataFrame:
-    """Children of every row's node: tree, node, v, signature, parent_n."""
+    """Children of every row's node, without signatures: tree, node, v, parent_n."""
     node = F.xxhash64("node", "tree", "branch", F.lit(level), _place(F.col("tree"), level, F.col("branch")))
     return rows.withColumn("branch", F.explode(F.array(*map(F.lit, range(BRANCHES))))).select(
-        "tree", node.alias("node"), "v", "signature", "parent_n"
+        "tree", node.alias("node"), "v", "parent_n"
     )
 
 
 def candidate_links(vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Spanning links a, b of vertices (v, signature) that may be similar."""
+    """Spanning links a, b of vertices (v, signature) that may be similar.
+
+    Rows travel by node without their signatures; only vertices that share a
+    node with others fetch theirs again.
+    """
     s = percent / 100
     margin = 4.5 * math.sqrt(s * (1 - s) / shingles.PLACES)
     least = max(1, math.floor((s - margin) * shingles.PLACES))
@@ -220,22 +224,19 @@ def candidate_links(vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
     for level in range(LEVELS):
         rows = _branched(rows, level)
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        rows = rows.join(sizes, "node")
-        if level:
-            rows = staged(rows)
+        rows = staged(rows.join(sizes, "node").join(vertices, "v"))
         small = rows.filter(F.col("n") <= SMALL)
         # Branching has not halved it: many near copies. Nor is there a further level after the last.
         thick = (F.col("n") * 2 >= F.coalesce(F.col("parent_n"), F.col("n") * 4)) | F.lit(level == LEVELS - 1)
         large = rows.filter(F.col("n") > SMALL)
-        dense = _block_pairs(large.filter(thick), "node", F.ceil(F.col("n") / BLOCK))
+        dense = _block_pairs(large.filter(thick), F.ceil(F.col("n") / BLOCK))
         links = _linked_groups(small, ["node"], ["signature"], similar)
         if level:
             links = links.union(_linked_groups(dense, ["node", "low", "high"], ["signature"], similar))
         found = staged(links) if found is None else found.union(staged(links))
         rows = large.filter(~thick).withColumn("parent_n", F.col("n")).drop("n")
-        if level:
-            if rows.isEmpty():
-                break
+        if rows.isEmpty():
+            break
     return found
 
 
@@ -248,7 +249,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, percent: int, id_col: s
     names = pa.schema([("root", pa.binary()), ("v", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("shingles", pa.binary())])
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("long")
-    wanted = members.join(sizes, "root").select("doc_id", "v", "root", blocks.alias("blocks"))
+    # As many rows as documents with a candidate: the join is the same at every size.
+    wanted = members.join(sizes, "root").select("doc_id", "v", "root", blocks.alias("blocks")).hint("merge")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, percent: int, id_col: s
                 )
 
     rows = texts.select("text", "v", "root", "blocks").mapInArrow(sets, "root binary, v binary, blocks long, shingles binary")
-    rows = _block_pairs(rows, "root", F.col("blocks"))
+    rows = _block_pairs(rows, F.col("blocks"))
 
     def similar(group: pa.Table) -> list[tuple[int, int]]:
         first: dict[bytes, int] = {}
