@@ -2,13 +2,13 @@
 
 A plain ``Window.partitionBy(key).orderBy(v)`` sends a whole key to one task.
 That is right while the largest key is small, and the size is checked first.
-Beyond it the order column is cut into ranges by approximate quantiles of the
-whole table, so a key that holds a third of all rows is spread over a third of
+Beyond it the order column is cut into ranges by quantiles of a random
+sample, so a key that holds a third of all rows is spread over a third of
 the ranges.  Each range is worked on its own, and the effect of the lower
 ranges arrives as one small row per (key, range).  Results do not depend on
 where the cuts fall.
 
-Key columns must not be NULL.
+NULL keys are a key of their own.
 """
 
 from __future__ import annotations
@@ -21,14 +21,22 @@ from pyspark.sql import functions as F
 from renderscope.session import split_bits, split_rows, staged
 
 RANGE = "_range"
+#: Sampled values per range.
+SAMPLED = 64
 
 
 def split_ranges(df: DataFrame, order: str, bits: int | None = None) -> DataFrame:
-    """Add the monotone integer range of ``order``, by binary search in the cuts."""
+    """Add the monotone integer range of ``order``, by binary search in the cuts.
+
+    Cuts are taken from a bounded random sample, so ``order`` may have any type
+    that can be ordered.  NULL sorts first and is in the first range.
+    """
     bits = split_bits(df.sparkSession) if bits is None else bits
     parts = 1 << bits
-    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.agg(F.percentile_approx(order, probs, F.lit(100 * parts)).alias("cuts")).scalar()
+    sample = df.select(F.col(order).alias("v")).where("v is not null").orderBy(F.rand(7)).limit(SAMPLED * parts)
+    drawn = F.sort_array(F.collect_list("v"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.floor(F.size("_s") * i / parts).cast("int"))
+    cuts = sample.agg(drawn.alias("_s")).select(F.transform(at, lambda i: F.get("_s", i)).alias("cuts")).scalar()
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
     at_range = F.aggregate(
         steps,
@@ -38,6 +46,16 @@ def split_ranges(df: DataFrame, order: str, bits: int | None = None) -> DataFram
     return df.withColumn("_cuts", cuts).withColumn(RANGE, at_range).drop("_cuts")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, NULL being equal to NULL; the keys stay once."""
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return left.join(other, same).drop(*names.values())
+
+
 def fits_one_task(df: DataFrame, keys: Sequence[str]) -> bool:
     """Whether the largest key of a staged table may be ordered by one task."""
     largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
@@ -86,7 +104,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{n}").over(lower), F.lit(0)).alias(f"_off_{n}") for n in measures],
         *[F.sum(f"_all_{n}").over(whole).alias(n) for n in totals],
     )
-    return inside.join(offsets, [*keys, RANGE]).select(
+    return join_same(inside, offsets, [*keys, RANGE]).select(
         *df.columns,
         *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in measures],
         *totals,
@@ -129,7 +147,7 @@ def previous_rows(
         .select(*keys, RANGE, beside("_edge").over(across).alias("_far"))
     )
     near = F.coalesce(F.col("_near"), F.col("_far"))
-    return inside.join(edges, [*keys, RANGE]).select(
+    return join_same(inside, edges, [*keys, RANGE]).select(
         *df.columns, *[near[new].alias(new) for new in columns]
     )
 

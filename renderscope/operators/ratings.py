@@ -137,11 +137,24 @@ def released_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def release_checks(df: DataFrame, reviewers: Sequence[str], expected_rows: int | None = None) -> DataFrame:
-    """One row of expectations on a release, from one pass."""
+def release_checks(
+    df: DataFrame,
+    reviewers: Sequence[str],
+    expected_rows: int | None = None,
+    rows_per_reviewer: int | None = None,
+) -> DataFrame:
+    """One row of expectations on a release, from one pass.
+
+    The reviewers must be exactly the given ones, each with ``rows_per_reviewer``
+    rows where that is given.
+    """
+    own = [F.count_if(F.col("reviewer") == r) for r in reviewers]
+    short = [(c == 0 if rows_per_reviewer is None else c != rows_per_reviewer).cast("int") for c in own]
     checks = df.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.count_if(~F.col("reviewer").isin(*reviewers)).alias("unexpected_reviewer_rows"),
+        F.count_if(~F.col("reviewer").isin(*reviewers) | F.col("reviewer").isNull()).alias("unexpected_reviewer_rows"),
+        sum((c == 0).cast("int") for c in own).alias("missing_reviewers"),
+        sum(short).alias("incomplete_reviewers"),
         F.count_if(F.trim("notes") != "").alias("rows_with_notes"),
         F.count_if(~F.col("rating").between(0, 10)).alias("ratings_out_of_domain"),
         F.max("updated_at").alias("as_of"),
@@ -151,6 +164,7 @@ def release_checks(df: DataFrame, reviewers: Sequence[str], expected_rows: int |
         "passed",
         expected
         & (F.col("unexpected_reviewer_rows") == 0)
+        & (F.col("incomplete_reviewers") == 0)
         & (F.col("rows_with_notes") == 0)
         & (F.col("ratings_out_of_domain") == 0),
     )

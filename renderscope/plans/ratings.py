@@ -106,16 +106,30 @@ def released_rows(spark, sf):
     return out.select("id", "variant_id", "reviewer", "rating", "most_trusted", "least_trusted", k, "created_at")
 
 
-@query("release_checks", f"""WITH {A.LOG} SELECT count(*) AS row_count,
-    count(*) FILTER (reviewer NOT IN ('1', '2', '3')) AS unexpected_reviewer_rows,
-    count(*) FILTER (variant_id = 'error') AS rows_with_notes,
-    count(*) FILTER (floor(value / 10) NOT BETWEEN 0 AND 10) AS ratings_out_of_domain,
-    max(updated_at) AS as_of, FALSE AS passed FROM log""")
+RELEASE_COLUMNS = """count(*) AS row_count, count(*) FILTER (reviewer NOT IN ('1', '2', '3') OR reviewer IS NULL) AS unexpected_reviewer_rows,
+    CAST(3 - count(DISTINCT reviewer) FILTER (reviewer IN ('1', '2', '3')) AS INTEGER) AS missing_reviewers,
+    CAST(3 - count(DISTINCT reviewer) FILTER (reviewer IN ('1', '2', '3')) AS INTEGER) AS incomplete_reviewers,
+    count(*) FILTER (variant_id = 'error') AS rows_with_notes, count(*) FILTER (floor(value / 10) NOT BETWEEN 0 AND 10) AS ratings_out_of_domain,
+    max(updated_at) AS as_of"""
+RELEASES = {
+    "whole log": "TRUE",
+    "one reviewer short": "reviewer IN ('1', '3') AND variant_id <> 'error' AND value < 110",
+    "as agreed": "reviewer IN ('1', '2', '3') AND variant_id <> 'error' AND value < 110",
+}
+
+
+@query("release_checks", f"""WITH {A.LOG}, checks AS (
+    {" UNION ALL ".join(f"SELECT '{name}' AS release, {RELEASE_COLUMNS} FROM log WHERE {rows}" for name, rows in RELEASES.items())})
+  SELECT *, unexpected_reviewer_rows = 0 AND missing_reviewers = 0 AND rows_with_notes = 0 AND ratings_out_of_domain = 0 AS passed FROM checks""")
 def release_checks(spark, sf):
     log = A.rating_log(spark, sf).withColumn("rating", F.floor(F.col("value") / 10)).withColumn(
         "notes", F.when(F.col("variant_id") == "error", "see me").otherwise(" ")
     )
-    return ratings.release_checks(log, ["1", "2", "3"])
+    parts = [
+        ratings.release_checks(log.where(rows), ["1", "2", "3"]).withColumn("release", F.lit(name))
+        for name, rows in RELEASES.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("rating_matrix", f"""WITH {A.LATEST} SELECT reviewer, passage_id,

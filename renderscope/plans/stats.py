@@ -498,7 +498,7 @@ def _daily(spark, sf):
 
 EXACT_SQL = f"""WITH RECURSIVE {DAILY_SQL},
   groups AS (SELECT grp, n, list(x2 ORDER BY x2) AS xs, list_distinct(list(x2 ORDER BY x2)) AS u, list(y2 ORDER BY y2) AS ys, sum(x2 * y2)::BIGINT AS observed
-    FROM ranked WHERE n <= 8 GROUP BY grp, n HAVING count(DISTINCT x2) > 1 AND count(DISTINCT y2) > 1),
+    FROM ranked GROUP BY grp, n HAVING count(DISTINCT x2) > 1 AND count(DISTINCT y2) > 1),
   sample AS (SELECT grp, n, ys, observed, list_sort(u) AS levels, list_transform(list_sort(u), lambda v: len(list_filter(xs, lambda x: x = v))) AS counts FROM groups),
   walk AS (
     SELECT grp, 1 AS pos, counts AS remaining, 0::BIGINT AS total FROM sample
@@ -513,77 +513,71 @@ EXACT_SQL = f"""WITH RECURSIVE {DAILY_SQL},
 
 @query("perm_exact", EXACT_SQL)
 def perm_exact(spark, sf):
-    out = resampling.exact_permutation_p(
-        _daily(spark, sf), ["grp"], "id", "rating", "ttr", max_n=8, max_orderings=50_000
-    )
+    out = resampling.exact_permutation_p(_daily(spark, sf), ["grp"], "id", "rating", "ttr")
     return rounded(out, "p_one_sided", "p_two_sided")
 
 
-DRAW_KEY = "('0x' || substr(md5({seed} || ':' || {parts}), 1, 15))::BIGINT"
-MC_DRAWS, MC_SEED, BOOT_DRAWS, BOOT_SEED = 99, 20260722, 99, 20260720
-_MC_KEY = DRAW_KEY.format(seed=f"'{MC_SEED}'", parts="draw || ':' || reviewer || ':' || id")
+@query("permutation_tests", f"""SELECT grp, n, p_two_sided, 'exact' AS p_method, orderings AS permutations FROM ({EXACT_SQL})""")
+def permutation_tests(spark, sf):
+    """Exact where orderings can be enumerated, which the daily samples of the test tables all are."""
+    return rounded(resampling.permutation_tests(_daily(spark, sf), ["grp"], "id", "rating", "ttr"), "p_two_sided")
 
-MONTE_CARLO_SQL = f"""WITH {A.RATED},
-  ranked AS (SELECT reviewer, id, CAST(2 * {rank_sql('rating', 'reviewer')} AS BIGINT) AS x2, CAST(2 * {rank_sql('ttr', 'reviewer')} AS BIGINT) AS y2,
-    count(*) OVER (PARTITION BY reviewer) AS n, row_number() OVER (PARTITION BY reviewer ORDER BY id) AS slot FROM rated),
-  observed AS (SELECT reviewer, n, sum(x2 * y2)::BIGINT AS observed, n * (n + 1) * (n + 1) AS centre FROM ranked GROUP BY ALL
-    HAVING count(DISTINCT x2) > 1 AND count(DISTINCT y2) > 1),
-  shuffled AS (SELECT reviewer, draw, x2, row_number() OVER (PARTITION BY reviewer, draw ORDER BY {_MC_KEY}, id) AS slot
-    FROM ranked, range(1, {MC_DRAWS} + 1) d(draw)),
-  sums AS (SELECT s.reviewer, draw, sum(s.x2 * r.y2)::BIGINT AS total FROM shuffled s JOIN ranked r USING (reviewer, slot) GROUP BY ALL)
-  SELECT reviewer, n, count(*) FILTER (abs(total - centre) >= abs(observed - centre)) AS extreme, {MC_DRAWS} AS draws,
-    round((count(*) FILTER (abs(total - centre) >= abs(observed - centre)) + 1) / {MC_DRAWS + 1}, 6) AS p_two_sided
-  FROM sums JOIN observed USING (reviewer) GROUP BY reviewer, n"""
 
+# Before testing, ratings and measures of a condition are averaged by passage.
+BOOT_DRAWS, BOOT_SEED = 20_000, 20260720
+COLLAPSED_SQL = A.RATED + """, collapsed AS (
+    SELECT variant_id, passage_id, avg(rating) AS rating, avg(ttr) AS ttr FROM rated GROUP BY ALL)"""
 
-@query("perm_monte_carlo", MONTE_CARLO_SQL)
-def perm_monte_carlo(spark, sf):
-    rows = A.rated(spark, sf).select("reviewer", "id", "rating", "ttr")
-    out = resampling.monte_carlo_p(rows, ["reviewer"], "id", "rating", "ttr", draws=MC_DRAWS, seed=MC_SEED)
-    return rounded(out, "p_two_sided")
 
+def _collapsed(spark, sf):
+    return A.rated(spark, sf).groupBy("variant_id", "passage_id").agg(F.avg("rating").alias("rating"), F.avg("ttr").alias("ttr"))
 
-@query("permutation_tests")
-def permutation_tests(spark, sf):
-    """Exact for the small daily samples, Monte-Carlo for all others."""
-    return resampling.permutation_tests(
-        _daily(spark, sf), ["grp"], "id", "rating", "ttr", max_n=6, max_orderings=500, draws=MC_DRAWS
-    )
+
+@query("perm_monte_carlo")
+def perm_monte_carlo(spark, sf):
+    """999,999 permutations per condition."""
+    out = resampling.monte_carlo_p(_collapsed(spark, sf), ["variant_id"], "passage_id", "rating", "ttr")
+    return rounded(out, "p_one_sided", "p_two_sided")
 
 
-_BOOT_KEY = DRAW_KEY.format(seed=f"'{BOOT_SEED}'", parts="draw || ':' || reviewer || ':' || slot")
-BOOTSTRAP_SQL = f"""WITH {A.RATED},
-  placed AS (SELECT reviewer, rating, ttr, row_number() OVER (PARTITION BY reviewer ORDER BY id) AS slot, count(*) OVER (PARTITION BY reviewer) AS n FROM rated),
-  picked AS (SELECT reviewer, draw, {_BOOT_KEY} % n + 1 AS slot FROM placed, range(1, {BOOT_DRAWS} + 1) d(draw)),
-  drawn AS (SELECT reviewer, draw, rating, ttr FROM picked JOIN placed USING (reviewer, slot)),
-  ranked AS (SELECT reviewer, draw, {rank_sql('rating', 'reviewer', 'draw')} AS rx, {rank_sql('ttr', 'reviewer', 'draw')} AS ry FROM drawn),
-  rhos AS (SELECT reviewer, draw, {corr_sql('rx', 'ry')} AS rho FROM ranked GROUP BY ALL)
-  SELECT reviewer, count(rho) AS usable_draws, round(quantile_cont(rho, 0.025), 6) AS ci_low, round(quantile_cont(rho, 0.975), 6) AS ci_high
-  FROM rhos WHERE rho IS NOT NULL GROUP BY reviewer"""
+_BOOT_KEY = f"('0x' || substr(md5('{BOOT_SEED}:' || draw || ':' || variant_id || ':' || slot), 1, 15))::BIGINT"
+BOOTSTRAP_SQL = f"""WITH {COLLAPSED_SQL},
+  placed AS (SELECT variant_id, rating, ttr, row_number() OVER (PARTITION BY variant_id ORDER BY passage_id) AS slot, count(*) OVER (PARTITION BY variant_id) AS n
+    FROM collapsed WHERE rating IS NOT NULL AND ttr IS NOT NULL),
+  picked AS (SELECT variant_id, draw, {_BOOT_KEY} % n + 1 AS slot FROM placed, range(1, {BOOT_DRAWS} + 1) d(draw)),
+  drawn AS (SELECT variant_id, draw, rating, ttr FROM picked JOIN placed USING (variant_id, slot)),
+  ranked AS (SELECT variant_id, draw, {rank_sql('rating', 'variant_id', 'draw')} AS rx, {rank_sql('ttr', 'variant_id', 'draw')} AS ry FROM drawn),
+  rhos AS (SELECT variant_id, draw, {corr_sql('rx', 'ry')} AS rho FROM ranked GROUP BY ALL)
+  SELECT variant_id, count(rho) AS usable_draws, round(quantile_cont(rho, 0.025), 6) AS ci_low, round(quantile_cont(rho, 0.975), 6) AS ci_high
+  FROM rhos WHERE rho IS NOT NULL GROUP BY variant_id"""
 
 
 @query("bootstrap_ci", BOOTSTRAP_SQL)
 def bootstrap_ci(spark, sf):
-    rows = A.rated(spark, sf).select("reviewer", "id", "rating", "ttr")
-    out = resampling.bootstrap_spearman_ci(rows, ["reviewer"], "id", "rating", "ttr", draws=BOOT_DRAWS, seed=BOOT_SEED)
+    """20,000 resamples per condition."""
+    out = resampling.bootstrap_spearman_ci(
+        _collapsed(spark, sf), ["variant_id"], "passage_id", "rating", "ttr", draws=BOOT_DRAWS, seed=BOOT_SEED
+    )
     return rounded(out, "ci_low", "ci_high")
 
 
 @query("primary_result")
 def primary_result(spark, sf):
-    """One row per condition: correlation, interval, p, pair order, rank error, overlaps, verdict."""
+    """One row per condition: correlation, interval, one- and two-sided p, pair order, rank error, overlaps, verdict."""
     keys = ["variant_id"]
-    rows = staged(A.rated(spark, sf).select(*keys, "id", "rating", (F.col("ttr") * 10).alias("divergence")))
+    rows = staged(
+        _collapsed(spark, sf).select(*keys, F.col("passage_id").alias("id"), "rating", (F.col("ttr") * 10).alias("divergence"))
+    )
     bundle = assoc.association(rows, keys, "rating", "divergence", pairs=True)
-    interval = resampling.bootstrap_spearman_ci(rows, keys, "id", "rating", "divergence", draws=49)
-    p = resampling.monte_carlo_p(rows, keys, "id", "rating", "divergence", draws=49).select(*keys, "p_two_sided")
+    interval = resampling.bootstrap_spearman_ci(rows, keys, "id", "rating", "divergence")
+    p = resampling.monte_carlo_p(rows, keys, "id", "rating", "divergence").select(*keys, "p_one_sided", "p_two_sided")
     error = ranks.prediction_ranks(rows, keys, "rating", "divergence").groupBy(*keys).agg(
         F.avg("absolute_rank_error").alias("mean_absolute_rank_error")
     )
     out = bundle
     for part in (interval, p, error, _top_overlap(rows, keys)):
         out = out.join(part, keys, "left")
-    return out.withColumn("verdict", trend.verdict(F.col("spearman_rho"), F.col("p_two_sided")))
+    return out.withColumn("verdict", trend.verdict(F.col("spearman_rho"), F.col("p_one_sided")))
 
 
 # ---- trend

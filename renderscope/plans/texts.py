@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from renderscope.functions import text as X
 from renderscope.operators import lexical
+from renderscope.functions.splits import row_numbers
 from renderscope.plans import adapters as A
 from renderscope.plans.registry import query, rounded
 from renderscope.sources.readers import read_table
@@ -52,22 +53,21 @@ def fingerprints(spark, sf):
      WHEN contains(w, ' – ') THEN trim(split_part(w, ' – ', 1)) WHEN contains(w, ' — ') THEN trim(split_part(w, ' — ', 1)) ELSE w END AS p FROM c),
   early AS (SELECT *, CASE WHEN instr(p, ',') BETWEEN 1 AND 81 THEN trim(split_part(p, ',', 1)) ELSE p END AS e FROM cut)
   SELECT doc_id, coalesce(nullif(trim(e, ' .;:,'), ''), 'untitled') AS headword,
-    trim(regexp_replace(lower(substr(w, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM early""")
+    trim(regexp_replace(lower(w), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM early""")
 def headwords(spark, sf):
     return _docs(spark, sf).select(
         "doc_id", X.headword(F.col("text"), "untitled").alias("headword"),
-        X.slug(F.substring(X.compact_space(F.col("text")), 1, 40), "").alias("slug"),
+        X.slug(X.compact_space(F.col("text")), "").alias("slug"),
     )
 
 
-@query("accent_order", """SELECT doc_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY strip_accents(lower(head)), doc_id) AS position
-  FROM (SELECT doc_id, regexp_extract(text, '[\\pL]+') AS head FROM documents)) WHERE position <= 50""")
+@query("accent_order", """SELECT doc_id, row_number() OVER (ORDER BY strip_accents(lower(head)), doc_id) AS position
+  FROM (SELECT doc_id, regexp_extract(text, '[\\pL]+') AS head FROM documents)""")
 def accent_order(spark, sf):
-    """The first fifty documents in accent- and case-insensitive order of their first word."""
+    """All documents in accent- and case-insensitive order of their headword."""
     head = _docs(spark, sf).select("doc_id", F.regexp_extract("text", r"[\p{L}]+", 0).alias("head"))
-    top = head.orderBy(X.accent_free(F.col("head")), "doc_id").limit(50)
-    at = F.row_number().over(Window.orderBy(X.accent_free(F.col("head")), "doc_id"))
-    return top.select("doc_id", at.alias("position"))
+    keyed = head.select("doc_id", F.struct(X.accent_free(F.col("head")).alias("head"), "doc_id").alias("order"))
+    return row_numbers(keyed, [], "order").select("doc_id", "position")
 
 
 # ---- pair scores
