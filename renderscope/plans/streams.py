@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -10,11 +11,24 @@ from renderscope import schemas
 from renderscope.plans import adapters as A
 from renderscope.plans.registry import query, rounded
 from renderscope.session import shared_folder
+from renderscope.sources.readers import read_table
 from renderscope.streaming import log as live
 
 
+FILES = 5
+
+
 def _log(spark, sf):
-    return A.from_events(live.file_stream(spark, sf, schemas.EVENTS, pattern="events.parquet"))
+    """The events as a log of several files, each one batch; every seventh event comes one file late."""
+    events = read_table(spark, sf, "events")
+    folder = f"{shared_folder(spark)}/arriving/{uuid.uuid4().hex}"
+    last = events.agg(F.max("event_id").alias("_most"))  # one row
+    late = (F.col("event_id") % 7 == 0).cast("int")
+    part = F.least(F.lit(FILES - 1), F.floor(F.col("event_id") * FILES / (F.col("_most") + 1)) + late)
+    dealt = events.crossJoin(F.broadcast(last)).withColumn("_part", part)
+    for i in range(FILES):
+        dealt.where(F.col("_part") == i).select(*events.columns).coalesce(1).write.mode("append").parquet(folder)
+    return A.from_events(live.file_stream(spark, folder, schemas.EVENTS, files_per_batch=1))
 
 
 def _run(start, stream, spark):
@@ -63,28 +77,36 @@ def stream_ingest(spark, sf):
 @query("stream_gaps", f"""WITH {A.LOG} SELECT id, reviewer,
     round(epoch_us(created_at - lag(created_at) OVER (PARTITION BY reviewer ORDER BY id)) / 1e6, 6) AS seconds_since_previous FROM log""")
 def stream_gaps(spark, sf):
-    folder = _run(live.save_gaps, _log(spark, sf), spark)
-    gaps = spark.read.parquet(f"{folder}/gaps").drop(live.BATCH)
-    return rounded(gaps, "seconds_since_previous")
+    folder = _run(partial(live.save_gaps, late="60 days"), _log(spark, sf), spark)
+    return rounded(live.read_gaps(spark, folder), "seconds_since_previous")
 
 
 @query("stream_visibility", f"""WITH {A.LOG}, sig AS (SELECT reviewer AS save_id, variant_id, id, passage_id >= 10 AND value / 100 >= 0.25 AS visible,
     epoch_us(created_at) / 1000 AS at_ms, value / 100 AS ratio FROM log),
-  steps AS (SELECT *, coalesce(lag(visible) OVER w, FALSE) AS was, lag(at_ms) OVER w AS prev FROM sig WINDOW w AS (PARTITION BY save_id, variant_id ORDER BY id))
-  SELECT save_id, variant_id, round(sum(CASE WHEN was THEN greatest(0, at_ms - prev) ELSE 0 END), 3) AS visible_ms, count(*) FILTER (visible AND NOT was) AS view_count,
-    round(min(at_ms) FILTER (visible), 3) AS first_visible_ms, round(max(at_ms) FILTER (was), 3) AS last_visible_ms, round(max(ratio) FILTER (visible), 6) AS max_ratio
-  FROM steps GROUP BY ALL""")
+  steps AS (SELECT *, coalesce(lag(visible) OVER w, FALSE) AS was, lag(at_ms) OVER w AS prev FROM sig WINDOW w AS (PARTITION BY save_id, variant_id ORDER BY id)),
+  captured AS (SELECT save_id, max(at_ms) + 5000 AS captured_ms FROM sig GROUP BY save_id),
+  totals AS (SELECT save_id, variant_id, sum(CASE WHEN was THEN greatest(0, at_ms - prev) ELSE 0 END) AS visible_ms, count(*) FILTER (visible AND NOT was) AS view_count,
+    min(at_ms) FILTER (visible) AS first_visible_ms, max(at_ms) FILTER (was) AS last_visible_ms, max(ratio) FILTER (visible) AS max_ratio,
+    max_by(visible, id) AS still, max_by(at_ms, id) AS last_ms FROM steps GROUP BY ALL)
+  SELECT save_id, variant_id, round(visible_ms + CASE WHEN still AND captured_ms > last_ms THEN captured_ms - last_ms ELSE 0 END, 3) AS visible_ms, view_count,
+    round(first_visible_ms, 3) AS first_visible_ms,
+    round(CASE WHEN still AND captured_ms > last_ms THEN greatest(coalesce(last_visible_ms, captured_ms), captured_ms) ELSE last_visible_ms END, 3) AS last_visible_ms,
+    round(max_ratio, 6) AS max_ratio
+  FROM totals JOIN captured USING (save_id)""")
 def stream_visibility(spark, sf):
-    seen = live.visibility_signals(
-        _log(spark, sf).select(
-            F.col("reviewer").alias("save_id"), "variant_id", F.col("id").alias("seq"),
-            (F.unix_micros(F.col("created_at").cast("timestamp")) / 1000).alias("at_ms"),
-            (F.col("value") / 100).alias("ratio"), F.lit(True).alias("helpers_visible"),
-            (F.col("passage_id") < 10).alias("page_hidden"),
+    def signals(log):
+        return live.visibility_signals(
+            log.select(
+                F.col("reviewer").alias("save_id"), "variant_id", F.col("id").alias("seq"),
+                (F.unix_micros(F.col("created_at").cast("timestamp")) / 1000).alias("at_ms"),
+                (F.col("value") / 100).alias("ratio"), F.lit(True).alias("helpers_visible"),
+                (F.col("passage_id") < 10).alias("page_hidden"),
+            )
         )
-    )
-    folder = _run(live.visibility_clock, seen, spark)
-    clock = rounded(live.read_clock(spark, folder), "visible_ms", "first_visible_ms", "last_visible_ms", places=3)
+
+    folder = _run(partial(live.visibility_clock, late="60 days"), signals(_log(spark, sf)), spark)
+    captures = signals(A.rating_log(spark, sf)).groupBy("save_id").agg((F.max("at_ms") + 5000).alias("captured_ms"))
+    clock = rounded(live.read_clock(spark, folder, captures), "visible_ms", "first_visible_ms", "last_visible_ms", places=3)
     return rounded(clock, "max_ratio")
 
 

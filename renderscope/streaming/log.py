@@ -117,47 +117,71 @@ def status_from_activity(activity: DataFrame) -> DataFrame:
     )
 
 
-def carried(
-    batch: DataFrame, folder: str, batch_id: int, key: Sequence[str], order: str, columns: Sequence[str]
-) -> DataFrame:
-    """The batch with the last earlier row of each of its keys, marked ``_carried``."""
-    rows = batch.select(*key, order, *columns).withColumn("_carried", F.lit(False))
-    if batch_id == 0:
-        return rows
-    last = batch.sparkSession.read.parquet(f"{folder}/last").where(F.col(BATCH) < batch_id)
-    newest = last.groupBy(*key).agg(F.max_by(F.struct(order, *columns), order).alias("_v"))
-    before = newest.select(*key, *[F.col("_v")[c].alias(c) for c in (order, *columns)]).withColumn(
-        "_carried", F.lit(True)
-    )
-    return rows.unionByName(before.join(batch.select(*key).distinct(), list(key), "left_semi"))
-
+def _recent(rows: DataFrame, key: Sequence[str], order: str, at: str, late: str) -> DataFrame:
+    """Rows that a row at most ``late`` behind the newest can still have for a neighbour.
 
-def keep_last(batch: DataFrame, folder: str, batch_id: int, key: Sequence[str], order: str, columns: Sequence[str]) -> None:
-    last = batch.groupBy(*key).agg(F.max_by(F.struct(order, *columns), order).alias("_v"))
-    write_batch(
-        last.select(*key, *[F.col("_v")[c].alias(c) for c in (order, *columns)]), f"{folder}/last", batch_id
+    Those inside the delay, and of each key the last one before it.
+    """
+    newest = rows.agg((F.max(at) - F.expr(f"interval {late}")).alias("_horizon"))
+    marked = rows.crossJoin(F.broadcast(newest))  # one row
+    old = marked.where(F.col(at) < F.col("_horizon")).groupBy(*key).agg(F.max(order).alias("_edge"))
+    return (
+        marked.join(old, list(key), "left")
+        .where((F.col(at) >= F.col("_horizon")) | (F.col(order) == F.col("_edge")))
+        .drop("_horizon", "_edge")
     )
 
 
-def save_gaps(log: DataFrame, folder: str, *, once: bool = False) -> StreamingQuery:
-    """Seconds since the reviewer's previous save, in id order, to ``gaps``."""
+def with_neighbours(
+    batch: DataFrame, folder: str, batch_id: int, key: Sequence[str], order: str, at: str, columns: Sequence[str], late: str
+) -> DataFrame:
+    """The batch and the kept rows of its keys, each once, kept ones marked ``_kept``; keeps the rows for the next batch.
+
+    The kept table is written anew under every batch id and only the one before
+    is read, so a batch costs what is inside the delay, not what has gone by.
+    A repeated batch finds what it found the first time.
+    """
+    rows = batch.select(*key, order, *columns).dropDuplicates([*key, order]).withColumn("_kept", F.lit(False))
+    if batch_id > 0:
+        before = batch.sparkSession.read.parquet(f"{folder}/recent").where(F.col(BATCH) == batch_id - 1)
+        kept = before.select(*key, order, *columns).withColumn("_kept", F.lit(True))
+        again = rows.select(*key, order)
+        rows = rows.unionByName(kept.join(again, [*key, order], "left_anti"))
+    write_batch(_recent(rows.drop("_kept"), key, order, at, late), f"{folder}/recent", batch_id)
+    return rows.join(batch.select(*key).distinct(), list(key), "left_semi")
+
+
+def save_gaps(log: DataFrame, folder: str, *, late: str = "1 day", once: bool = False) -> StreamingQuery:
+    """Seconds since the reviewer's previous save, in id order, to ``gaps``.
+
+    Saves may come up to ``late`` after newer ones: the gap of the save that
+    follows is then written again under the later batch.  ``read_gaps`` takes
+    the last word on each save.
+    """
     key, order, columns = ["reviewer"], "id", ["created_at"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = carried(batch, folder, batch_id, key, order, columns)
-        gaps = previous_rows(rows, key, order, {"_before": "created_at"}).where("not _carried")
+        rows = with_neighbours(batch, folder, batch_id, key, order, "created_at", columns, late)
+        gaps = previous_rows(rows, key, order, {"_before": "created_at", "_before_kept": "_kept"})
+        # Anew: saves of this batch, and kept ones that now follow a save of this batch.
+        changed = gaps.where("not _kept or not _before_kept")
         write_batch(
-            gaps.select(
+            changed.select(
                 *key, order, seconds_between(F.col("_before"), F.col("created_at")).alias("seconds_since_previous")
             ),
             f"{folder}/gaps",
             batch_id,
         )
-        keep_last(batch, folder, batch_id, key, order, columns)
 
     return _start(log, work, folder, "append", once)
 
 
+def read_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/gaps")
+    last = F.max_by(F.struct("seconds_since_previous"), BATCH).alias("_v")
+    return rows.groupBy("reviewer", "id").agg(last).select("reviewer", "id", F.col("_v.seconds_since_previous"))
+
+
 VISIBILITY_THRESHOLD = 0.25  # fixed value
 CLOCK_KEY = ("save_id", "variant_id")
 
@@ -194,27 +218,44 @@ def visibility_totals(intervals: DataFrame, by: Sequence[str] = CLOCK_KEY) -> Da
     )
 
 
-def visibility_clock(signals: DataFrame, folder: str, *, once: bool = False) -> StreamingQuery:
-    """Visible time per (save, variant); a save's clock starts at zero.  Partial sums go to ``clock``."""
+def visibility_clock(signals: DataFrame, folder: str, *, late: str = "1 day", once: bool = False) -> StreamingQuery:
+    """Visible time that ends with each signal of a (save, variant), to ``clock``; a save's clock starts at zero.
+
+    Signals may come late: the one that follows is then written again.
+    """
     key, order, columns = list(CLOCK_KEY), "seq", ["visible", "at_ms", "ratio"]
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = carried(batch, folder, batch_id, key, order, columns)
-        write_batch(
-            visibility_totals(visibility_intervals(rows).where("not _carried")), f"{folder}/clock", batch_id
-        )
-        keep_last(batch, folder, batch_id, key, order, columns)
+        timed = batch.withColumn("_at", F.timestamp_millis(F.col("at_ms").cast("long")))
+        rows = with_neighbours(timed, folder, batch_id, key, order, "_at", [*columns, "_at"], late).drop("_at")
+        steps = previous_rows(rows, key, order, {"_before_kept": "_kept"}).select(*key, order, "_before_kept")
+        intervals = visibility_intervals(rows).join(steps, [*key, order])
+        changed = intervals.where("not _kept or not _before_kept").drop("_kept", "_before_kept")
+        write_batch(changed, f"{folder}/clock", batch_id)
 
     return _start(signals, work, folder, "append", once)
 
 
-def read_clock(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/clock").groupBy(*CLOCK_KEY).agg(
-        F.sum("visible_ms").alias("visible_ms"),
-        F.sum("view_count").alias("view_count"),
-        F.min("first_visible_ms").alias("first_visible_ms"),
-        F.max("last_visible_ms").alias("last_visible_ms"),
-        F.max("max_ratio").alias("max_ratio"),
+def read_clock(spark: SparkSession, folder: str, captures: DataFrame | None = None) -> DataFrame:
+    """Totals per (save, variant).
+
+    ``captures`` (save_id, captured_ms) are the ends of the saves: a card that
+    was visible at its last signal stays so until then.
+    """
+    rows = spark.read.parquet(f"{folder}/clock")
+    rest = [c for c in rows.columns if c not in (*CLOCK_KEY, "seq", BATCH)]
+    newest = rows.groupBy(*CLOCK_KEY, "seq").agg(F.max_by(F.struct(*rest), BATCH).alias("_v"))
+    intervals = newest.select(*CLOCK_KEY, "seq", *[F.col("_v")[c].alias(c) for c in rest])
+    totals = visibility_totals(intervals)
+    if captures is None:
+        return totals
+    last = intervals.groupBy(*CLOCK_KEY).agg(F.max_by(F.struct("visible", "at_ms"), "seq").alias("_last"))
+    open_until = F.when(F.col("_last.visible") & (F.col("captured_ms") > F.col("_last.at_ms")), F.col("captured_ms"))
+    closed = totals.join(last, list(CLOCK_KEY)).join(captures.select("save_id", "captured_ms"), "save_id", "left")
+    return (
+        closed.withColumn("visible_ms", F.col("visible_ms") + F.coalesce(open_until - F.col("_last.at_ms"), F.lit(0.0)))
+        .withColumn("last_visible_ms", F.greatest("last_visible_ms", open_until))
+        .select(*totals.columns)
     )
 
 

@@ -54,7 +54,7 @@ def compare(spark, con, folder, name):
     spent = time.time() - start
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        return f"rows={len(got)} (no sql) {spent:.1f}s", True
+        return f"SKIPPED: no SQL, rows={len(got)} {spent:.1f}s", None
     start = time.time()
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]
@@ -84,7 +84,7 @@ def main():
         except Exception as e:  # report and go on
             text, ok = f"ERROR {type(e).__name__}: {str(e)[:400]}", False
         print(f"{name}: {text}", flush=True)
-        bad += [] if ok else [name]
+        bad += [name] if ok is False else []
     print("BAD:", bad)
 
 

@@ -60,12 +60,51 @@ def test_status_and_first(spark, saves):
 
 def test_gaps_carry_over_batches(spark, saves):
     out = run(live.save_gaps, stream(spark, saves[0]))
-    gaps = {r.id: r.seconds_since_previous for r in spark.read.parquet(f"{out}/gaps").collect()}
+    gaps = {r.id: r.seconds_since_previous for r in live.read_gaps(spark, out).collect()}
     want = {r.id: r.seconds_since_previous for r in timing.save_gaps(saves[1]).collect()}
     assert spark.read.parquet(f"{out}/gaps").select("batch_id").distinct().count() == 4
     assert gaps == want
 
 
+def late_files(spark, seed):
+    """Saves dealt over five files, many of them after newer ones."""
+    rng = random.Random(seed)
+    start = datetime(2026, 1, 1)
+    rows = [
+        (i, "p", 1, "1", f"r{rng.randrange(3)}", 5, start + timedelta(minutes=3 * i), start, "single") for i in range(120)
+    ]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    files = [[] for _ in range(5)]
+    for r in rows:
+        files[min(4, r[0] // 30 + rng.randrange(2))].append(r)
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return folder, spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_saves_correct_the_gap_that_follows(spark, seed):
+    folder, every = late_files(spark, seed)
+    out = run(live.save_gaps, stream(spark, folder))
+    got = {r.id: r.seconds_since_previous for r in live.read_gaps(spark, out).collect()}
+    assert got == {r.id: r.seconds_since_previous for r in timing.save_gaps(every).collect()}
+    kept = spark.read.parquet(f"{out}/recent").groupBy("batch_id").count().collect()
+    assert len(kept) == 5
+
+
+def test_a_repeated_batch_changes_nothing(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    at = datetime(2026, 1, 1)
+    parts = [[(1, at), (3, at + timedelta(minutes=10))], [(2, at + timedelta(minutes=4))]]
+    batches = [spark.createDataFrame([("r", i, t) for i, t in p], "reviewer string, id long, created_at timestamp") for p in parts]
+    found = []
+    for _ in range(2):
+        for n in (0, 1, 1):
+            rows = live.with_neighbours(batches[n], folder, n, ["reviewer"], "id", "created_at", ["created_at"], "1 day")
+            found.append(sorted((r.id, r["_kept"]) for r in rows.collect()))
+    assert found == [[(1, False), (3, False)], [(1, True), (2, False), (3, True)], [(1, True), (2, False), (3, True)]] * 2
+
+
 def test_ingest_splits_good_from_bad(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     schema = "id long, passage_id string, rating string, exposure_json string"
@@ -95,6 +134,19 @@ def test_visibility_clock(spark):
     assert (clock.visible_ms, clock.view_count, clock.first_visible_ms, clock.last_visible_ms, clock.max_ratio) == (500.0, 2, 100.0, 700.0, 0.9)
 
 
+def test_an_open_interval_lasts_until_the_capture(spark):
+    schema = "save_id string, variant_id string, seq long, at_ms double, ratio double, helpers_visible boolean, page_hidden boolean"
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for seq, ms in ((1, 100.0), (3, 400.0), (2, 250.0)):  # the second signal comes last
+        row = ("s", "v", seq, ms, 0.9, True, seq == 2)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    out = run(live.visibility_clock, live.visibility_signals(live.file_stream(spark, folder, schema, files_per_batch=1)))
+    captures = spark.createDataFrame([("s", 1000.0)], "save_id string, captured_ms double")
+    clock = live.read_clock(spark, out, captures).first()
+    assert (clock.visible_ms, clock.view_count, clock.last_visible_ms) == (150.0 + 600.0, 2, 1000.0)
+    assert live.read_clock(spark, out).first().visible_ms == 150.0
+
+
 def test_sessions_and_activity_as_streams(spark, saves):
     batch = live.sessions(saves[1], gap="20 minutes").agg(F.sum("saves")).first()[0]
     assert batch == 240
