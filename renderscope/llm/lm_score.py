@@ -267,7 +267,7 @@ def answers(asked: DataFrame, counted: DataFrame, shallow: list[ctw.Level], dept
 # --- scores --------------------------------------------------------------------
 
 
-def scored(blocked: DataFrame, answered: DataFrame, totals: tuple[int, int], depth: int) -> DataFrame:
+def scored(blocked: DataFrame, answered: DataFrame, blocks: int, totals: tuple[int, int], depth: int) -> DataFrame:
     """Documents beside the table of their block: the table's rows come first, then the block's documents."""
     n, v = totals
     schema = pa.schema(
@@ -277,7 +277,7 @@ def scored(blocked: DataFrame, answered: DataFrame, totals: tuple[int, int], dep
     rows = (
         answered.select("block", F.lit(0).alias("turn"), "kind", "keys", "values", empty.cast("long").alias("doc_id"), empty.cast("boolean").alias("learnt"), empty.cast("string").alias("text"))
         .union(blocked.select("block", F.lit(1).alias("turn"), empty.cast("string").alias("kind"), empty.cast("binary").alias("keys"), empty.cast("binary").alias("values"), "doc_id", "learnt", "text"))
-        .repartition("block")
+        .repartitionById(blocks, F.col("block").cast("int"))  # a task per block
         .sortWithinPartitions("block", "turn")
     )
 
@@ -346,7 +346,7 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
             (~held_out(F.col(id_col), HELD_OUT)).alias("learnt"),
         )
     )
-    shards = max(1, blocked.select("block").distinct().count())
+    shards = 1 + (blocked.agg(F.max("block")).first()[0] or 0)  # as many as blocks
     asked = staged(requests(blocked, depth, shards))
     counted = staged(shard_counts(asked))
 
@@ -364,7 +364,7 @@ def language_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
         shallow.append(ctw.Level(*shallow[-1].parents(d)))
     answered = answers(asked, counted, shallow, depth)
     train_tokens = F.lit(int(n)).cast("long")
-    return scored(blocked, answered, (int(n), int(v)), depth).select(
+    return scored(blocked, answered, shards, (int(n), int(v)), depth).select(
         "doc_id",
         (~F.col("learnt")).alias("held_out"),
         "n_tokens",
