@@ -95,7 +95,79 @@ def op4_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op8_source_mix")
+def _nearer_sql(cells: str, out: str) -> str:
+    return f"""{out}_gap AS (SELECT source, any_value(target) - sum((n * base + more) * size) AS gap FROM {cells} GROUP BY source),
+    {out}_best AS (
+        SELECT c.source, min({{'off': abs(c.size - abs(gap)), 'size': c.size}}).size AS size
+        FROM {cells} c JOIN {out}_gap g ON c.source IS NOT DISTINCT FROM g.source
+        WHERE abs(c.size - abs(gap)) < abs(gap) AND CASE WHEN gap > 0 THEN more < n AND base < 3 ELSE more > 0 END
+        GROUP BY c.source
+    ),
+    {out} AS (
+        SELECT c.* REPLACE (more + CASE WHEN c.size = b.size THEN sign(gap)::BIGINT ELSE 0 END AS more)
+        FROM {cells} c JOIN {out}_gap g ON c.source IS NOT DISTINCT FROM g.source
+            LEFT JOIN {out}_best b ON c.source IS NOT DISTINCT FROM b.source
+    )"""
+
+
+@query(
+    "op8_source_mix",
+    rf"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+    ),
+    cells AS (SELECT source, size, count(*) AS n FROM sized GROUP BY ALL),
+    ranked AS (
+        SELECT source, sum(n * size) AS c, max(size) AS largest,
+            [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM cells GROUP BY source
+    ),
+    ordered AS (SELECT *, 3.0::DOUBLE * c / weight AS full_at FROM ranked),
+    levels AS (
+        SELECT *, (sum(c) OVER () - coalesce(sum(3.0::DOUBLE * c) OVER before, 0)) / sum(weight) OVER rest AS level FROM ordered
+        WINDOW before AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            rest AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ),
+    aims AS (
+        SELECT source, c, largest, CASE WHEN full_at <= lambda0 THEN 3.0::DOUBLE * c ELSE weight * lambda0 END AS target
+        FROM levels, (SELECT max(level) AS lambda0 FROM levels WHERE level <= full_at)
+    ),
+    lists AS (
+        SELECT a.*, a.c = 0 OR a.target >= 3.0::DOUBLE * a.c AS is_full, l.sizes, l.ns
+        FROM aims a JOIN (SELECT source, list(size ORDER BY size) AS sizes, list(n ORDER BY size) AS ns FROM cells GROUP BY source) l
+            ON a.source IS NOT DISTINCT FROM l.source
+    ),
+    halving AS (
+        SELECT source, 0 AS k, least(0.0::DOUBLE, largest * ln(target / c)) AS lo, largest * ln(3.0::DOUBLE) AS hi FROM lists WHERE NOT is_full
+        UNION ALL
+        SELECT source, k + 1, CASE WHEN over THEN lo ELSE mid END, CASE WHEN over THEN mid ELSE hi END FROM (
+            SELECT h.source, h.k, h.lo, h.hi, (h.lo + h.hi) / 2 AS mid,
+                list_sum(list_transform(range(1, len(l.sizes) + 1),
+                    lambda j: l.ns[j] * l.sizes[j] * least(3.0::DOUBLE, exp((h.lo + h.hi) / 2 * l.sizes[j] / l.largest)))) > l.target AS over
+            FROM halving h JOIN lists l ON h.source IS NOT DISTINCT FROM l.source WHERE h.k < 90
+        )
+    ),
+    rates AS (
+        SELECT c.*, a.c AS source_size, a.target,
+            CASE WHEN a.is_full THEN 3.0::DOUBLE WHEN c.size > 0 THEN least(3.0::DOUBLE, exp((h.lo + h.hi) / 2 * c.size / a.largest)) ELSE 0.0::DOUBLE END AS rate
+        FROM cells c JOIN lists a ON c.source IS NOT DISTINCT FROM a.source
+            LEFT JOIN (SELECT * FROM halving WHERE k = 90) h ON c.source IS NOT DISTINCT FROM h.source
+    ),
+    due AS (
+        SELECT *, floor(rate)::BIGINT AS base,
+            floor(sum(((rate - floor(rate)) * n)::DECIMAL(38, 12)) OVER (PARTITION BY source ORDER BY size) + 0.5)::BIGINT AS due FROM rates
+    ),
+    first_plan AS (SELECT * EXCLUDE (due), due - coalesce(lag(due) OVER (PARTITION BY source ORDER BY size), 0) AS more FROM due),
+    {_nearer_sql("first_plan", "second_plan")},
+    {_nearer_sql("second_plan", "plan")},
+    placed AS (
+        SELECT d.doc_id, d.size, p.source_size, p.target, p.base, p.more, row_number() OVER (PARTITION BY d.source, d.size ORDER BY turn % ceil(n / {mixing.RANK_ROWS})::BIGINT, turn, doc_id) AS place
+        FROM (SELECT *, ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS turn FROM sized) d
+            JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.size = p.size
+    )
+    SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+        CASE WHEN size > 0 THEN (base + (place <= more)::BIGINT) * size ELSE 0 END::BIGINT AS taken FROM placed
+    """,
+)
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
