@@ -25,10 +25,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renderscope.session import shared_folder
+from renderscope.session import shared_folder, staged
 
 
 #: Most words of the automaton.
@@ -36,7 +36,7 @@ LEXICON_WORDS = 1 << 17
 #: Longer words are merged one at a time with a heap.
 LONG_WORD = 48
 #: Words that a task remembers, counts or merges at a time.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 MERGED_AT_ONCE = 1 << 15
 #: Characters of text that are in hand at a time.
 BATCH_CHARS = 1 << 20
@@ -122,6 +122,12 @@ def _byte_characters() -> list[str]:
     return [at[b] for b in range(256)]
 
 
+def cut_up(values: np.ndarray, lengths: np.ndarray) -> list[tuple[int, ...]]:
+    """Consecutive runs of so many values each."""
+    flat, ends = values.tolist(), [0, *np.cumsum(lengths).tolist()]
+    return [tuple(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Merges:
     """Vocabulary and merge ranks of a BPE file with word ends."""
 
@@ -169,8 +175,9 @@ class Merges:
             best = rank[row, at]
             over = best == self.none
             if over.any():
-                for i, x in zip(active[over], ids[over], strict=True):
-                    done[i] = tuple(x[x >= 0].tolist())
+                ended = ids[over]
+                for i, x in zip(active[over].tolist(), cut_up(ended[ended >= 0], (ended >= 0).sum(axis=1)), strict=True):
+                    done[i] = x
                 keep = ~over
                 active, ids, rank, at, best = active[keep], ids[keep], rank[keep], at[keep], best[keep]
                 if not len(active):
@@ -342,8 +349,12 @@ class Lexicon:
         out[order[good]] = total[good]
         return out
 
-    def sequence(self, place: int) -> tuple[int, ...]:
-        return tuple(self.ids[self.starts[place] : self.starts[place + 1]].tolist())
+    def sequences(self, places: np.ndarray) -> list[tuple[int, ...]]:
+        """Ids of the words at these places."""
+        starts = self.starts[places]
+        lengths = self.starts[places + 1] - starts
+        shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        return cut_up(self.ids[shift + np.arange(len(shift))], lengths)
 
 
 # --- Spark ---------------------------------------------------------------------
@@ -372,12 +383,14 @@ class Encoder:
         self.at = Places()
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.int32)
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def ids_of(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Distinct words: through the lexicon, the rest merged."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         places = self.lexicon.places(raw)
-        out = {words[i]: self.lexicon.sequence(places[i]) for i in np.flatnonzero(places >= 0)}
+        held = np.flatnonzero(places >= 0)
+        out = dict(zip([words[i] for i in held], self.lexicon.sequences(places[held]), strict=True))
         unseen = np.flatnonzero(places < 0)
         out.update(zip([words[i] for i in unseen], self.merges.merge([raw[i] for i in unseen]), strict=True))
         return out
@@ -385,10 +398,13 @@ class Encoder:
     def _learn(self) -> None:
         special = self.merges.special
         cut = [[c] if c in special else words_of(c) for c in self.at.new]
-        ids = self.ids_of(list({w for words in cut for w in words} - special.keys()))
+        ids = self.words
+        ids.update(self.ids_of(list({w for words in cut for w in words if w not in ids} - special.keys())))
         ids.update({c: (i,) for c, i in special.items()})
-        lengths = np.fromiter((sum(len(ids[w]) for w in words) for words in cut), np.int64, len(cut))
-        flat = np.fromiter((i for words in cut for w in words for i in ids[w]), np.int32, int(lengths.sum()))
+        sequences = list(map(ids.__getitem__, chain.from_iterable(cut)))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, sequences), np.int64, len(sequences)))])
+        lengths = np.diff(ends[np.cumsum([0, *map(len, cut)])])
+        flat = np.fromiter(chain.from_iterable(sequences), np.int32, int(ends[-1]))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, flat])
@@ -464,7 +480,12 @@ def word_counts(docs: DataFrame, text_col: str = "text", special: Iterable[str]
 
 def lexicon_file(spark: SparkSession, docs: DataFrame, merges: Merges, text_col: str, most: int) -> str:
     """Compile the most frequent words and hand the file to all executors; its name."""
-    top = word_counts(docs, text_col, merges.special).orderBy(F.desc("n"), "word").limit(most)
+    counted = staged(word_counts(docs, text_col, merges.special))
+    # Words by how often they occur: the least count whose words, with all more frequent ones, still fit.
+    from_top = Window.orderBy(F.desc("n"))
+    by_count = counted.groupBy("n").agg(F.count("*").alias("words"))
+    least = by_count.withColumn("fit", F.sum("words").over(from_top)).filter(F.col("fit") <= most).agg(F.min("n")).first()[0]
+    top = counted.filter(F.col("n") >= (least or 0)) if least else counted.limit(0)
     words = [r.word.encode("utf-8") for r in top.select("word").collect()]  # at most ``most`` words
     return shared_file(spark, f"lexicon-{uuid.uuid4().hex}.bin", compile_lexicon(words, merges.merge(words)))
 
@@ -524,7 +545,11 @@ def _encoded(
 
 def decode(lists: pa.Array, names: list[str]) -> pa.Array:
     """Text of each id sequence: the names of its tokens, joined by spaces."""
-    return pa.array([None if x is None else " ".join(map(names.__getitem__, x)) for x in lists.to_pylist()], pa.string())
+    tokens = list(map(names.__getitem__, lists.values.to_numpy().tolist()))
+    ends = lists.offsets.to_numpy().tolist()
+    known = lists.is_valid().to_numpy(zero_copy_only=False).tolist()
+    texts = [" ".join(tokens[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], known, strict=False)]
+    return pa.array(texts, pa.string())
 
 
 def decoded(spark: SparkSession, ids: Column | str, vocabulary: str) -> Column:

@@ -63,7 +63,7 @@ def test_automaton_is_minimal_and_complete(merges):
     places = held.places([*words, b"walkin", b"walkings", b"", b"zzz"])
     assert sorted(places[: len(words)].tolist()) == list(range(len(words)))
     assert (places[len(words) :] == -1).all()
-    assert [held.sequence(p) for p in places[: len(words)]] == merges.merge(words)
+    assert held.sequences(places[: len(words)]) == merges.merge(words)
     # A state is minimal if no other has the same right language.
     edges = {}
     for key, to in zip(held.keys.tolist(), held.to.tolist(), strict=True):
