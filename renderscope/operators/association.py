@@ -35,8 +35,9 @@ def value_cells(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Linear correlation per key, in one pass."""
     paired = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # a merged variance of equal floats need not be 0
     return paired.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), guarded_corr(F.col(x), F.col(y)).alias("pearson_r")
+        F.count(F.lit(1)).alias("n"), F.when(varies, guarded_corr(F.col(x), F.col(y))).alias("pearson_r")
     )
 
 

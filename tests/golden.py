@@ -3,16 +3,16 @@
 METRICS = ["bleu4", "chrfpp", "meteor", "rouge_l", "bertscore", "comet", "xcomet", "bleurt"]
 # passage, condition, rating, composite divergence, source characters, reference words, 8 metrics, length-adjusted composite
 PASSAGES = [
-    (1, "p", 3, 4.58333333, 21, 42, 0.39416778, 0.67000473, 0.72612562, 0.75609756, 0.95959187, 0.79104829, 0.76147652, 0.75121814, -0.18130321),
-    (2, "s", 4, 3.19444444, 18, 28, 0.74399172, 0.85887875, 0.92688081, 0.92857143, 0.97269934, 0.79052633, 0.70224017, 0.77301627, -0.85384656),
-    (3, "p", 4, 2.08333333, 32, 54, 0.77303258, 0.79325671, 0.87307468, 0.8952381, 0.98202986, 0.80365795, 0.83008099, 0.85789257, -0.70555036),
-    (4, "p", 8, 10.0, 23, 37, 0.0922335, 0.36568917, 0.46256702, 0.41558442, 0.87774163, 0.61286026, 0.32307988, 0.48247212, 1.90657072),
-    (5, "s", 8, 5.83333333, 43, 68, 0.40810188, 0.58266284, 0.68032891, 0.6969697, 0.96343672, 0.75490344, 0.66292197, 0.74931836, 0.45536157),
-    (6, "p", 9, 7.63888889, 16, 33, 0.34077853, 0.56512249, 0.63266871, 0.64516129, 0.92171329, 0.7482537, 0.52912426, 0.68694466, 0.38497963),
-    (7, "s", 5, 8.47222222, 22, 35, 0.17698322, 0.50457695, 0.63181142, 0.67567568, 0.90647876, 0.70618576, 0.42858636, 0.58565301, 0.96753499),
-    (8, "p", 5, 1.66666667, 21, 34, 0.78959591, 0.89069976, 0.92807393, 0.94285714, 0.98601329, 0.85371596, 0.67052907, 0.79967672, -0.99475343),
-    (9, "s", 2, 6.11111111, 17, 32, 0.39941361, 0.6030254, 0.62044025, 0.61290323, 0.93737531, 0.77765357, 0.69458419, 0.77568841, 0.06162887),
-    (10, "s", 3, 0.41666667, 27, 39, 0.83346766, 0.90388672, 0.9484651, 0.94871795, 0.99082768, 0.82646459, 0.81726509, 0.84308535, -1.04062222),
+    (1, "assisted", 3, 4.58333333, 21, 42, 0.39416778, 0.67000473, 0.72612562, 0.75609756, 0.95959187, 0.79104829, 0.76147652, 0.75121814, -0.18130321),
+    (2, "single", 4, 3.19444444, 18, 28, 0.74399172, 0.85887875, 0.92688081, 0.92857143, 0.97269934, 0.79052633, 0.70224017, 0.77301627, -0.85384656),
+    (3, "assisted", 4, 2.08333333, 32, 54, 0.77303258, 0.79325671, 0.87307468, 0.8952381, 0.98202986, 0.80365795, 0.83008099, 0.85789257, -0.70555036),
+    (4, "assisted", 8, 10.0, 23, 37, 0.0922335, 0.36568917, 0.46256702, 0.41558442, 0.87774163, 0.61286026, 0.32307988, 0.48247212, 1.90657072),
+    (5, "single", 8, 5.83333333, 43, 68, 0.40810188, 0.58266284, 0.68032891, 0.6969697, 0.96343672, 0.75490344, 0.66292197, 0.74931836, 0.45536157),
+    (6, "assisted", 9, 7.63888889, 16, 33, 0.34077853, 0.56512249, 0.63266871, 0.64516129, 0.92171329, 0.7482537, 0.52912426, 0.68694466, 0.38497963),
+    (7, "single", 5, 8.47222222, 22, 35, 0.17698322, 0.50457695, 0.63181142, 0.67567568, 0.90647876, 0.70618576, 0.42858636, 0.58565301, 0.96753499),
+    (8, "assisted", 5, 1.66666667, 21, 34, 0.78959591, 0.89069976, 0.92807393, 0.94285714, 0.98601329, 0.85371596, 0.67052907, 0.79967672, -0.99475343),
+    (9, "single", 2, 6.11111111, 17, 32, 0.39941361, 0.6030254, 0.62044025, 0.61290323, 0.93737531, 0.77765357, 0.69458419, 0.77568841, 0.06162887),
+    (10, "single", 3, 0.41666667, 27, 39, 0.83346766, 0.90388672, 0.9484651, 0.94871795, 0.99082768, 0.82646459, 0.81726509, 0.84308535, -1.04062222),
 ]
 # rating, source words, divergence
 RATER_A = [
