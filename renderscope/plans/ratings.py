@@ -287,3 +287,15 @@ def ragged_union(spark, sf):
 def reviewed_membership(spark, sf):
     seen = A.rating_log(spark, sf).select(F.col("passage_id").alias("doc_id"))
     return quality.membership(read_table(spark, sf, "documents").select("doc_id"), seen, "doc_id", "reviewed")
+
+
+@query("parsed_timestamps", """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts)::TIMESTAMP END AS at FROM events""")
+def parsed_timestamps(spark, sf):
+    """Save times as text: ISO with a trailing Z, with a space, and unreadable."""
+    kind, ts = F.col("event_id") % 3, F.col("ts").cast("timestamp")
+    text = (
+        F.when(kind == 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(kind == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .otherwise("some day")
+    )
+    return read_table(spark, sf, "events").select("event_id", timing.iso_timestamp(text).cast("timestamp_ntz").alias("at"))

@@ -254,6 +254,19 @@ def next_jobs(spark, sf):
     return jobs.select(*WORK_KEY, "priority").orderBy("priority", *WORK_KEY).limit(40)
 
 
+@query("request_defaults", """SELECT p_partkey,
+    coalesce(nullif(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN p_brand END, ''), 'standard') AS model,
+    greatest(coalesce(CASE WHEN p_size % 4 <> 0 THEN p_size - 20 END, 1), 1) AS requested_runs FROM part""")
+def request_defaults(spark, sf):
+    """Missing and empty models get the default, missing and small run counts become one."""
+    part = read_table(spark, sf, "part")
+    model = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, F.col("p_brand"))
+    runs = F.when(F.col("p_size") % 4 != 0, F.col("p_size") - 20)
+    return part.select(
+        "p_partkey", planning.defaulted(model, "standard").alias("model"), planning.at_least_one(runs).alias("requested_runs")
+    )
+
+
 def _cost_grid(spark, sf):
     body = planning.request_text(F.col("source"), F.col("doc_id").cast("int"), F.col("text"))
     passages = read_table(spark, sf, "documents").repartition("doc_id").select(
