@@ -51,8 +51,12 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def scoring_request(pairs: DataFrame, key: str) -> DataFrame:
-    """Rows for an external scorer with a stable 0-based index in key order."""
-    return row_numbers(pairs, [], key, "row_index").withColumn("row_index", F.col("row_index") - 1)
+    """Rows for an external scorer with a stable 0-based index in key order.
+
+    Only the keys, which are unique, are put in order; texts join them by key.
+    """
+    numbered = row_numbers(pairs.select(key), [], key, "row_index").withColumn("row_index", F.col("row_index") - 1)
+    return pairs.join(numbered, key)
 
 
 def public_columns(df: DataFrame, private: Sequence[str]) -> DataFrame:
