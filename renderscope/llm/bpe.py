@@ -247,57 +247,44 @@ def compile_lexicon(words: list[bytes], ids: list[tuple[int, ...]]) -> bytes:
     before all those that go over it, so a path adds up to the word's place.
     """
     order = sorted(range(len(words)), key=words.__getitem__)
-    edges: list[dict[int, int]] = [{}]
-    final = [False]
+    states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []  # final, edges; children come first
     register: dict[tuple, int] = {}
-    path: list[tuple[int, int, int]] = []  # parent, letter, child: the branch that may still grow
+    letters: list[int] = []
+    edges: list[dict[int, int]] = [{}]  # of the root and of the branch that may still grow
+    final = [False]
 
     def close(depth: int) -> None:
-        while len(path) > depth:
-            parent, letter, child = path.pop()
-            state = (final[child], tuple(edges[child].items()))
-            edges[parent][letter] = register.setdefault(state, child)
+        while len(letters) > depth:
+            state = (final.pop(), tuple(edges.pop().items()))
+            if state not in register:
+                register[state] = len(states)
+                states.append(state)
+            edges[-1][letters.pop()] = register[state]
 
     before = b""
     for i in order:
         word = words[i]
-        shared = len(os.path.commonprefix([before, word]))
-        close(shared)
-        at = path[-1][2] if path else 0
-        for letter in word[shared:]:
+        close(len(os.path.commonprefix([before, word])))
+        for letter in word[len(letters) :]:
+            letters.append(letter)
             edges.append({})
             final.append(False)
-            edges[at][letter] = len(edges) - 1
-            path.append((at, letter, len(edges) - 1))
-            at = len(edges) - 1
-        final[at] = True
+        final[-1] = True
         before = word
     close(0)
-    # Number the states that are left, children first, and count the words below each.
-    below: dict[int, int] = {}
-    names: dict[int, int] = {}
-    stack = [(0, False)]
-    while stack:
-        s, ready = stack.pop()
-        if ready:
-            if s not in below:
-                below[s] = final[s] + sum(below[c] for c in edges[s].values())
-                names[s] = len(names)
-        elif s not in below:
-            stack.append((s, True))
-            stack += [(c, False) for c in edges[s].values()]
+    states.append((final[0], tuple(edges[0].items())))
+    below: list[int] = []  # words from each state on
     keys, to, add = [], [], []
-    for s, name in names.items():
-        passed = int(final[s])
-        for letter, child in edges[s].items():
-            keys.append(name << 8 | letter)
-            to.append(names[child])
+    for at, (ends_here, out) in enumerate(states):
+        passed = int(ends_here)
+        for letter, child in out:
+            keys.append(at << 8 | letter)
+            to.append(child)
             add.append(passed)
             passed += below[child]
+        below.append(passed)
     by_key = np.argsort(np.array(keys, np.int64), kind="stable")
-    ends = np.zeros(len(names), np.int64)
-    for s, name in names.items():
-        ends[name] = final[s]
+    ends = np.array([f for f, _ in states], np.int64)
     sequences = [ids[i] for i in order]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in sequences])]).astype(np.int64)
     arrays = [
@@ -308,7 +295,7 @@ def compile_lexicon(words: list[bytes], ids: list[tuple[int, ...]]) -> bytes:
         starts,
         np.fromiter(chain.from_iterable(sequences), np.int64),
     ]
-    head = np.array([names[0], *map(len, arrays)], np.int64)
+    head = np.array([len(states) - 1, *map(len, arrays)], np.int64)
     return b"".join(x.tobytes() for x in [head, *arrays])
 
 
