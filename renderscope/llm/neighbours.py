@@ -5,7 +5,9 @@ splits its points by their distance to a vantage point; the triangle inequality
 bounds how near either side can be, and a side is left out if that bound, times
 ``factor``, is beyond the k-th best so far. Factor 1 is exact; larger factors
 leave out more. All queries of a block walk a tree together, first to the leaf
-each of them falls into, then everywhere else the bound allows.
+each of them falls into, then everywhere else the bound allows. Points within
+rounding of the k-th best stay until they are scored exactly; where they exceed
+the spare places of a query, it walks the tree again and takes every one.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from renderscope.session import staged
 #: Points of a shard, about.
 SHARD_POINTS = 16_384
 LEAF = 64
-#: Candidates kept beyond k until they are scored exactly.
+#: Candidates kept beyond k until they are scored exactly; queries with more of them walk again.
 SPARE = 16
 #: Bytes of query vectors that go to every executor at a time; more queries take more passes over the index.
 PASS_BYTES = 32 << 20
 #: Queries that walk a tree together.
 TOGETHER = 1024
-ROUNDING = 1e-9
+#: Components scored at a time.
+SCORED_VALUES = 1 << 22
+#: Scored pairs held before they are cut to k per query.
+HELD_PAIRS = 1 << 20
 
 
 # --- trees ---------------------------------------------------------------------
@@ -39,11 +44,16 @@ ROUNDING = 1e-9
 
 @dataclass
 class Tree:
-    """Distinct vectors in leaf order. Nodes: vantage point, children, and the distance range of each child."""
+    """Distinct vectors in leaf order. Nodes: vantage point, children, and the distance range of each child.
+
+    ``low`` and ``high`` are the least and greatest id of each vector.
+    """
 
     vectors: np.ndarray
     unit: np.ndarray
     ids: list[np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
     nodes: list[tuple]
 
 
@@ -56,12 +66,31 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
+def margin(dim: int) -> float:
+    """Twice what a product of unit rows and ``cosines`` can differ by, in double precision."""
+    return 4 * (dim + 8) * float(np.finfo(np.float64).eps)
+
+
+def slack(dim: int) -> float:
+    """Error of a difference of three chords: near 0 a chord is off by the root of its cosine's error."""
+    return 3 * math.sqrt(margin(dim))
+
+
+def _smallest(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of sorted ids, enough to hold the k smallest beside any one id: each up to k times, 2k in all."""
+    if len(ids) <= k:
+        return ids
+    times = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    return ids[times < k][: 2 * k]
+
+
 def build_tree(ids: np.ndarray, vectors: np.ndarray, k: int) -> Tree:
-    """Equal vectors are one point with its k + 1 smallest ids: no other can be among the k nearest."""
+    """Equal vectors are one point with its smallest ids: no other can be among the k nearest."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
     first = np.flatnonzero(np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(axis=1)]))
-    groups = [g[: k + 1] for g in np.split(ids, first[1:])]
+    groups = [_smallest(g, k) for g in np.split(ids, first[1:])]
+    low, high = ids[first], ids[np.append(first[1:], len(ids)) - 1]
     vectors = vectors[first]
     unit = _unit(vectors)
     place = np.arange(len(unit))
@@ -87,7 +116,12 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, k: int) -> Tree:
 
     if len(unit):
         grow(0, len(unit))
-    return Tree(vectors[place], unit[place], [groups[i] for i in place], nodes)
+    return Tree(vectors[place], unit[place], [groups[i] for i in place], low[place], high[place], nodes)
+
+
+def _alone(tree: Tree, a: int, b: int, own: np.ndarray) -> np.ndarray:
+    """Which of the points a to b have no id but the query's own, query by query."""
+    return (tree.low[a:b] == own[:, None]) & (tree.high[a:b] == own[:, None])
 
 
 def _merge(best: np.ndarray, at: np.ndarray, cosine: np.ndarray, points: np.ndarray) -> None:
@@ -99,12 +133,18 @@ def _merge(best: np.ndarray, at: np.ndarray, cosine: np.ndarray, points: np.ndar
     at[:] = np.take_along_axis(names, keep, 1)
 
 
-def search_tree(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Points (places in the tree, -1 for none) and cosines of each query's candidates; vectors compared."""
+def search_tree(
+    tree: Tree, queries: np.ndarray, k: int, factor: float, own: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Points (places in the tree, -1 for none) and cosines of each query's candidates; vectors compared.
+
+    Points that hold only the query's id in ``own`` are no candidates.
+    """
     q = _unit(queries)
-    best = np.full((len(q), k + 1 + SPARE), -np.inf)
+    best = np.full((len(q), k + SPARE), -np.inf)
     at = np.full(best.shape, -1, np.int64)
     home = np.full(len(q), -1)
+    near, off = margin(q.shape[1]), slack(q.shape[1])
     compared = 0
 
     def leaf(node: int, rows: np.ndarray) -> None:
@@ -112,7 +152,10 @@ def search_tree(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple
         _, a, b = tree.nodes[node]
         compared += len(rows) * (b - a)
         part, names = best[rows], at[rows]
-        _merge(part, names, q[rows] @ tree.unit[a:b].T, np.arange(a, b))
+        cosine = q[rows] @ tree.unit[a:b].T
+        if own is not None:
+            cosine[_alone(tree, a, b, own[rows])] = -np.inf
+        _merge(part, names, cosine, np.arange(a, b))
         best[rows], at[rows] = part, names
 
     def descend(node: int, rows: np.ndarray) -> None:
@@ -123,9 +166,9 @@ def search_tree(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple
         point, inner, outer, _, inner_far, outer_near, _ = tree.nodes[node]
         d = chord(q[rows] @ point)
         inside = d <= (inner_far + outer_near) / 2
-        for child, own in ((inner, rows[inside]), (outer, rows[~inside])):
-            if len(own):
-                descend(child, own)
+        for child, part in ((inner, rows[inside]), (outer, rows[~inside])):
+            if len(part):
+                descend(child, part)
 
     def visit(node: int, rows: np.ndarray) -> None:
         if len(tree.nodes[node]) == 3:
@@ -133,22 +176,68 @@ def search_tree(tree: Tree, queries: np.ndarray, k: int, factor: float) -> tuple
             if len(rows):
                 leaf(node, rows)
             return
-        point, inner, outer, inner_near, inner_far, outer_near, outer_far = tree.nodes[node]
-        d = chord(q[rows] @ point)
-        for child, near, far in ((inner, inner_near, inner_far), (outer, outer_near, outer_far)):
-            bound = np.maximum(np.maximum(near - d, d - far), 0)
-            reach = chord(np.partition(best[rows], -(k + 1), axis=1)[:, -(k + 1)].clip(min=-1))
-            own = rows[bound * factor <= reach + ROUNDING]
-            if len(own):
-                visit(child, own)
+        for child, bound in _bounds(tree.nodes[node], q[rows]):
+            reach = chord(kth_best(best[rows], k).clip(min=-1) - near)
+            part = rows[bound * factor <= reach + off]
+            if len(part):
+                visit(child, part)
 
     if tree.nodes:
         every = np.arange(len(q))
         descend(0, every)
         visit(0, every)
+    at[best == -np.inf] = -1
     return at, best, compared
 
 
+def _bounds(node: tuple, q: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each child and the least distance it can have to the queries."""
+    point, inner, outer, inner_near, inner_far, outer_near, outer_far = node
+    d = chord(q @ point)
+    sides = ((inner, inner_near, inner_far), (outer, outer_near, outer_far))
+    return [(child, np.maximum(np.maximum(near - d, d - far), 0)) for child, near, far in sides]
+
+
+def kth_best(best: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(best, -k, axis=1)[:, -k]
+
+
+def points_from(
+    tree: Tree, queries: np.ndarray, least: np.ndarray, own: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of a query and a point of at least its cosine ``least``: rows and places, leaf by leaf."""
+    q = _unit(queries)
+    reach = chord(least) + slack(q.shape[1])
+    open_nodes = [(0, np.arange(len(q)))]
+    while open_nodes:
+        node, rows = open_nodes.pop()
+        if len(tree.nodes[node]) == 3:
+            _, a, b = tree.nodes[node]
+            close = (q[rows] @ tree.unit[a:b].T >= least[rows, None]) & ~_alone(tree, a, b, own[rows])
+            row, place = np.nonzero(close)
+            yield rows[row], place + a
+            continue
+        for child, bound in _bounds(tree.nodes[node], q[rows]):
+            part = rows[bound <= reach[rows]]
+            if len(part):
+                open_nodes.append((child, part))
+
+
+def candidates(
+    tree: Tree, queries: np.ndarray, k: int, factor: float, own: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and places of all points that can be among the k nearest once scored exactly."""
+    at, best, _ = search_tree(tree, queries, k, factor, own)
+    least = kth_best(best, k) - margin(queries.shape[1])
+    full = np.flatnonzero((best.min(axis=1) >= least) & np.isfinite(least))
+    at[full] = -1
+    row, column = np.nonzero(at >= 0)
+    yield row, at[row, column]
+    if len(full):
+        for row, place in points_from(tree, queries[full], least[full], own[full]):
+            yield full[row], place
+
+
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows in double precision, summed in order."""
     dot = np.cumsum(queries * vectors, axis=-1)[..., -1]
@@ -200,6 +289,10 @@ def search(index: DataFrame, queries: pd.DataFrame, k: int, factor: float) -> Da
     )
     names = ["query_id", "query_key", "vec_id", "score"]
 
+    def nearest_of(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts).sort_values(["query_key", "score", "vec_id"], ascending=[True, False, True])
+        return rows.groupby("query_key", sort=False).head(k)
+
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
         for batch in batches:
@@ -208,22 +301,25 @@ def search(index: DataFrame, queries: pd.DataFrame, k: int, factor: float) -> Da
                     continue
                 tree: Tree = pickle.loads(data)
                 ids, keys, vectors = shared.value[dim]
-                parts = [held]
+                parts, pairs = [held], 0
+                step = max(1, SCORED_VALUES // int(dim))
                 for i in range(0, len(ids), TOGETHER):
                     part = vectors[i : i + TOGETHER]
-                    at, _, _ = search_tree(tree, part, k, factor)
-                    row, column = np.nonzero(at >= 0)
-                    place = at[row, column]
-                    score = cosines(part[row], tree.vectors[place])
-                    own = [tree.ids[p] for p in place]
-                    times = np.fromiter(map(len, own), np.int64, len(own))
-                    row, score = np.repeat(row, times), np.repeat(score, times)
-                    vec = np.concatenate(own) if own else np.empty(0, np.int64)
-                    other = vec != ids[i + row]
-                    columns = (ids[i + row], keys[i + row], vec, score)
-                    parts.append(pd.DataFrame({n: c[other] for n, c in zip(names, columns, strict=True)}))
-                held = pd.concat(parts).sort_values(["query_key", "score", "vec_id"], ascending=[True, False, True])
-                held = held.groupby("query_key", sort=False).head(k)
+                    for rows, places in candidates(tree, part, k, factor, ids[i : i + TOGETHER]):
+                        for j in range(0, len(rows), step):
+                            row, place = rows[j : j + step], places[j : j + step]
+                            score = cosines(part[row], tree.vectors[place])
+                            own = [tree.ids[p] for p in place]
+                            times = np.fromiter(map(len, own), np.int64, len(own))
+                            row, score = np.repeat(row, times), np.repeat(score, times)
+                            vec = np.concatenate(own)
+                            other = vec != ids[i + row]
+                            columns = (ids[i + row], keys[i + row], vec, score)
+                            parts.append(pd.DataFrame({n: c[other] for n, c in zip(names, columns, strict=True)}))
+                            pairs += len(vec)
+                            if pairs >= HELD_PAIRS:
+                                parts, pairs = [nearest_of(parts)], 0
+                held = nearest_of(parts)
         yield held
 
     return index.select("dim", "tree").mapInPandas(found, "query_id long, query_key long, vec_id long, score double")

@@ -118,6 +118,34 @@ def test_factor_one_is_exact(spark, shard_points, pass_bytes):
     assert neighbours.nearest(table.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_ties_beyond_the_spare_places_are_settled_exactly(spark):
+    rng = np.random.default_rng(9)
+    line = rng.normal(size=6)
+    rows = [(1000 - i, (line * (1 + i)).tolist()) for i in range(100)]  # scaled copies: cosines equal but for rounding
+    rows += [(2000 + i, v.tolist()) for i, v in enumerate(rng.integers(0, 2, (300, 12)).astype(float))]  # binary
+    rows += [(3000 + i, [float(i + 1)]) for i in range(60)]  # one dimension
+    rows += [(4000, (line + rng.normal(size=6) * 1e-3 * i).tolist()) for i in range(40)]  # one id, many vectors
+    rows += [(5000, [2.0, 1.0, 1.0])] * 9 + [(5001, [2.0, 1.0, 1.0]), (5002, [1.0, 2.0, 1.0])]  # one id, many equal rows
+    rows = [r for r in rows if any(r[1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, F.col("vec_id") % 20 == 0)
+    want = brute_nearest(rows, 5, lambda i: i % 20 == 0)
+    shown = {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()}
+    assert shown == want
+
+
+def test_parallel_points_are_not_pruned():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=24) * rng.uniform(1, 2, 5000)[:, None] * rng.choice([1, 1 + 1e-15], (5000, 24))
+    tree = neighbours.build_tree(np.arange(5000), vectors, 5)
+    found = neighbours.candidates(tree, vectors[:8], 5, 1.0, np.arange(8))
+    near = {(int(r), int(tree.ids[p][0])) for rows, places in found for r, p in zip(rows, places, strict=True)}
+    for row in range(8):
+        exact = neighbours.cosines(vectors[row][None], vectors)
+        order = [i for i in np.lexsort((np.arange(5000), -exact)) if i != row][:5]
+        assert {(row, i) for i in order} <= near
+
+
 def test_factor_leaves_out_more_and_recall_falls(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16))
