@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from renderscope.functions.text import rough_tokens
 from renderscope.operators.ratings import tier_lookup
 from renderscope.operators.timing import percentiles
+from renderscope.session import staged
 
 # Dollars per million tokens.
 RATES = {"standard": (5.00, 30.00), "batch": (2.50, 15.00)}
@@ -39,6 +42,7 @@ OUTPUT_RULES = (
     ((), (), 180, 1.8, "base", "single translation component"),
 )
 CORE_PRIORITY = 4  # fixed value
+#: Profiles that travel in one array.
 GRID_PROFILE_LIMIT = 10_000
 TIER_PRIORITY = {"primary_random_review": 10, "secondary_random_review": 50}
 
@@ -46,19 +50,23 @@ TIER_PRIORITY = {"primary_random_review": 10, "secondary_random_review": 50}
 def profile_grid(passages: DataFrame, profiles: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every passage with every profile.
 
-    The profiles travel as one array inside the plan, checked to stay a short
-    list, and are exploded next to each passage: no join and no shuffle.
+    The profiles travel as one array inside the plan and are exploded next to
+    each passage: no join and no shuffle. A list longer than GRID_PROFILE_LIMIT
+    travels in blocks of about that many, one after the other.
     """
-    listed = profiles.agg(F.collect_list(F.struct(*columns)).alias("p")).scalar()
-    fits = F.when(
-        F.size("_profiles") > GRID_PROFILE_LIMIT, F.raise_error(F.lit("too many profiles for one grid"))
-    ).otherwise(F.lit(True)).cast("boolean")
-    return (
-        passages.withColumn("_profiles", listed)
-        .where(fits)
-        .withColumn("_p", F.explode("_profiles"))
-        .select(*passages.columns, *[F.col("_p")[c].alias(c) for c in columns])
-    )
+    every = staged(profiles.select(*columns))
+    blocks = max(1, math.ceil(every.count() / GRID_PROFILE_LIMIT))
+    block = F.pmod(F.xxhash64(*columns), F.lit(blocks))
+    parts = []
+    for i in range(blocks):
+        own = every.where(block == i) if blocks > 1 else every
+        listed = own.agg(F.collect_list(F.struct(*columns)).alias("p")).scalar()
+        parts.append(
+            passages.withColumn("_profiles", listed)
+            .withColumn("_p", F.explode("_profiles"))
+            .select(*passages.columns, *[F.col("_p")[c].alias(c) for c in columns])
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_work(

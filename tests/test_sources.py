@@ -100,3 +100,11 @@ def test_latest_metric_run_only(spark):
 def test_declared_schemas_parse(spark):
     for spec in (schemas.RATING_LOG, schemas.INCOMING_SAVE, schemas.MANIFEST, schemas.BENCHMARK_CELLS, schemas.EVENTS):
         assert spark.createDataFrame([], spec).columns
+
+
+def test_grid_takes_more_profiles_than_one_array(spark, monkeypatch):
+    monkeypatch.setattr(planning, "GRID_PROFILE_LIMIT", 4)
+    profiles = spark.range(30).select(F.col("id").alias("profile_id"), F.lit("p").alias("name"))
+    grid = planning.profile_grid(spark.range(3), profiles, ["profile_id", "name"])
+    assert sorted((r.id, r.profile_id, r["name"]) for r in grid.collect()) == [(i, p, "p") for i in range(3) for p in range(30)]
+    assert planning.profile_grid(spark.range(3), profiles.limit(0), ["profile_id"]).collect() == []
