@@ -33,11 +33,20 @@ STEPS_A_JOB = 4
 MOST_JOBS = 30
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sized(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    row_col: str | None = None,
+) -> DataFrame:
+    """doc_id, source, size, digest (of the text, to order rows that share an id) and ``row``."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(whole_text(text_col)).alias("digest"),
+        F.col(row_col).alias("row") if row_col else F.lit(None).cast("long").alias("row"),
     )
 
 
@@ -86,42 +95,49 @@ def _rate(limit: float) -> Column:
 
 
 def _newton(state: DataFrame, cells: DataFrame, limit: float) -> DataFrame:
-    """One guarded step on ln f(tilt) = ln target, f being the expected words of a source."""
-    names = state.columns
-    rate = _rate(limit)
-    words = F.col("n") * F.col("size") * F.col("rate")
-    slope = F.when(F.col("rate") < limit, words * F.col("size") / F.col("largest")).otherwise(F.lit(0.0))
-    sums = (
-        cells.join(state.filter("not done"), F.col("cell_source").eqNullSafe(F.col("source")))
-        .withColumn("rate", rate)
+    """One guarded step on ln f(tilt) = ln target, f being the expected words of a source.
+
+    The state rides through the aggregate, so that a step reads it once and
+    chained steps make a plan that grows in proportion to their number.
+    """
+    names = [n for n in state.columns if n != "source"]
+    tilted = f"if(size > 0, least({limit}D, exp(tilt * size / largest)), 0D)"
+    words = "sum(cast(n * size * rate as decimal(38,12)))"
+    slope = f"sum(cast(if(rate < {limit}D, n * size * rate * try_divide(size, largest), 0D) as decimal(38,12)))"
+    summed = (
+        cells.join(state, F.col("cell_source").eqNullSafe(F.col("source")))
+        .selectExpr("*", f"if(done, 0D, {tilted}) as rate")
         .groupBy("source")
-        .agg(
-            F.sum(words.cast("decimal(38,12)")).cast("double").alias("f"),
-            F.sum(slope.cast("decimal(38,12)")).cast("double").alias("df"),
-        )
-        .withColumnRenamed("source", "sum_source")
+        .agg(F.expr(words).cast("double").alias("f"), F.expr(slope).cast("double").alias("df"), *map(_held, names))
     )
-    over = F.col("f") > F.col("target")
-    step = F.col("tilt") - F.when(F.col("df") > 0, F.log(F.col("f") / F.col("target")) * F.col("f") / F.col("df"))
-    inside = (step > F.coalesce(F.col("low"), step - 1)) & (step < F.coalesce(F.col("high"), step + 1))
-    halved = (
-        F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2)
-        .when(F.col("low").isNull(), F.col("high") - 1 - F.abs(F.col("high")))
-        .otherwise(F.col("low") + 1 + F.abs(F.col("low")))
-    )
-    near = F.abs(F.col("f") - F.col("target")) <= F.col("target") * 1e-13 + 1e-10
-    still = (F.col("high") - F.col("low")) <= 1e-15 * (1 + F.abs(F.col("tilt")))
+    step = "tilt - ln(try_divide(f, target)) * try_divide(f, df)"  # null for solved and empty sources
+    near = "abs(f - target) <= target * 1e-13 + 1e-10 or new_high - new_low <= 1e-15 * (1 + abs(tilt))"
+    inside = "step > coalesce(new_low, step - 1) and step < coalesce(new_high, step + 1)"
+    halved = """case when new_low is null then new_high - 1 - abs(new_high) when new_high is null then new_low + 1 + abs(new_low)
+        else (new_low + new_high) / 2 end"""
     return (
-        state.join(sums, F.col("source").eqNullSafe(F.col("sum_source")), "left")
-        .withColumn("low", F.when(~F.col("done") & ~over, F.col("tilt")).otherwise(F.col("low")))
-        .withColumn("high", F.when(~F.col("done") & over, F.col("tilt")).otherwise(F.col("high")))
-        .withColumn("was_done", F.col("done"))
-        .withColumn("done", F.col("done") | F.coalesce(near, F.lit(False)) | F.coalesce(still, F.lit(False)))
-        .withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, step).otherwise(halved))
-        .select(*names)
+        summed.selectExpr(
+            "*",
+            "if(not done and f <= target, tilt, low) as new_low",
+            "if(not done and f > target, tilt, high) as new_high",
+            f"{step} as step",
+        )
+        .selectExpr("*", f"done or coalesce({near}, false) as now_done")
+        .selectExpr(
+            "source",
+            *[n for n in names if n not in ("low", "high", "done", "tilt")],
+            "now_done as done",
+            f"case when now_done then tilt when {inside} then step else {halved} end as tilt",
+            "new_low as low",
+            "new_high as high",
+        )
     )
 
 
+def _held(name: str) -> Column:
+    return F.first(name).alias(name)
+
+
 def tilts(cells: DataFrame, aims: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Solve the dual: ``aims`` with the tilt of each source."""
     full = (F.col("source_size") == 0) | (F.col("target") >= limit * F.col("source_size"))
@@ -140,29 +156,21 @@ def tilts(cells: DataFrame, aims: DataFrame, limit: float = LIMIT) -> DataFrame:
             state = _newton(state, cells, limit)
         state = staged(state.coalesce(1))  # a row per source
         if state.filter("not done").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"rates of some source are unsolved after {MOST_JOBS * STEPS_A_JOB} steps")
 
 
 def _nearer(planned: DataFrame, limit: float) -> DataFrame:
     """Move the one copy that brings each source nearest to its target, if any does."""
-    taken = planned.groupBy("source").agg(
-        F.sum((F.col("n") * F.col("base") + F.col("more")) * F.col("size")).alias("taken"),
-        F.first("target").alias("aim"),
-    )
-    gaps = taken.select(F.col("source").alias("gap_source"), (F.col("aim") - F.col("taken")).alias("gap"))
+    cells = Window.partitionBy("source")  # a row per size that occurs, as in the rounding before
     off = F.abs(F.col("size") - F.abs(F.col("gap")))
     free = F.when(F.col("gap") > 0, (F.col("more") < F.col("n")) & (F.col("base") < limit)).otherwise(F.col("more") > 0)
-    held = planned.join(gaps, F.col("source").eqNullSafe(F.col("gap_source"))).drop("gap_source")
-    best = (
-        held.filter(free & (off < F.abs(F.col("gap"))))
-        .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "size")).alias("best"))
-        .select(F.col("source").alias("best_source"), F.col("best.size").alias("best_size"))
-    )
-    moved = F.when(F.col("size") == F.col("best_size"), F.signum("gap").cast("long")).otherwise(F.lit(0))
+    better = F.when(free & (off < F.abs(F.col("gap"))), F.struct(off.alias("off"), "size"))
+    taken = F.sum((F.col("n") * F.col("base") + F.col("more")) * F.col("size")).over(cells)
+    moved = F.when(F.col("size") == F.col("best.size"), F.signum("gap").cast("long")).otherwise(F.lit(0))
     return (
-        held.join(best, F.col("source").eqNullSafe(F.col("best_source")), "left")
+        planned.withColumn("gap", F.col("target") - taken)
+        .withColumn("best", F.min(better).over(cells))
         .withColumn("more", F.col("more") + moved)
         .select(*planned.columns)
     )
@@ -176,14 +184,17 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, rate.
+    """One row per document: doc_id, size, source_size, target, taken, copies, rate, row.
 
     Null text: size 0, nothing taken. Null sources are one source, the last.
-    Rows that repeat an id are documents of their own; equal ones take equal
-    turns. A source without words has target 0. Empty input, empty result.
+    Rows that repeat an id are documents of their own, in order of their texts'
+    digests. ``row_col`` names a column that tells rows apart; it comes back as
+    ``row`` (else null). A source without words has target 0. Empty input, empty
+    result. Raises if the rates of a source cannot be solved.
     """
-    rows = staged(sized(docs, id_col, text_col, source_col))
+    rows = staged(sized(docs, id_col, text_col, source_col, row_col))
     cells = staged(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = tilts(cells, targets(cells, weights, limit), limit)
     state = solved.withColumnRenamed("source", "state_source")
@@ -198,7 +209,6 @@ def mixed(
         .withColumn("more", F.col("due") - F.coalesce(F.lag("due").over(along), F.lit(0)))
         .select("source", "size", "n", "source_size", "target", "rate", "base", "more")
     )
-    planned = staged(planned)
     for _ in range(MOVES):
         planned = _nearer(planned, limit)
     planned = staged(planned.withColumn("shares", F.ceil(F.col("n") / RANK_ROWS)).drop("n"))
@@ -224,7 +234,7 @@ def mixed(
         & (F.col("size") == F.col("s_size"))
         & (F.col("share") == F.col("s_share"))
     )
-    within = Window.partitionBy("source", "size", "share").orderBy("turn", "doc_id")
+    within = Window.partitionBy("source", "size", "share").orderBy("turn", "doc_id", "digest")
     copies = F.col("base") + (F.col("ahead") + F.col("at") <= F.col("more")).cast("long")
     return (
         keyed.withColumn("at", F.row_number().over(within))
@@ -238,17 +248,23 @@ def mixed(
             (F.col("copies") * F.col("size")).alias("taken"),
             "copies",
             "rate",
+            "row",
         )
     )
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: documents, with all their columns, as often as they are taken."""
-    taken = mixed(docs, id_col=id_col).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_taken_id")
-    names = docs.columns
+    """The mix itself: documents, with all their columns, as often as they are taken.
+
+    Every row comes out as often as its own plan says, also where rows share an
+    id: rows are numbered once, in a written table, and copies are looked up by
+    that number.
+    """
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mixed(numbered, id_col=id_col, row_col="_row").filter("copies > 0")
+    taken = taken.select(F.col("row").alias("_taken_row"), F.col("copies").cast("int").alias("_copies"))
     return (
-        docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken_id")))
-        .withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))")))
-        .select(*names)
+        numbered.join(taken, F.col("_row") == F.col("_taken_row"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(*docs.columns)
     )

@@ -7,10 +7,12 @@ import public_tokenizers
 import pytest
 from llm.edge_rows import ROWS, documents
 from llm.test_exact_dedup import brute as exact_brute
+from llm.test_mixing import brute as mix_brute
+from llm.test_mixing import copies_by_cell
 from llm.test_similarity import brute as near_brute
 from tokenizers import Tokenizer
 
-from renderscope.llm import mixing, quality
+from renderscope.llm import quality
 
 
 @pytest.fixture(scope="module")
@@ -41,12 +43,9 @@ def test_stages(spark, folder):
     assert near.columns == columns
     assert {r.doc_id for r in near.collect()} == {r[0] for r in near_brute(ROWS) if r[3]}
 
-    mix = corpus_pipeline.mix_stage(spark, docs.filter("doc_id is not null and doc_id <> 12"), folder)
-    taken = {r.doc_id: r.copies for r in mixing.mixed(docs.filter("doc_id is not null and doc_id <> 12")).collect()}
-    got = {}
-    for r in mix.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert mix.columns == columns and got == {i: n for i, n in taken.items() if n}
+    mix = corpus_pipeline.mix_stage(spark, docs, folder)
+    assert mix.columns == columns
+    assert copies_by_cell(mix.collect()) == {k: n for k, n in mix_brute(ROWS).items() if n}
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in corpus_pipeline.encode_stage(spark, near.filter("doc_id is not null"), folder).collect():
