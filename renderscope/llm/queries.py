@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renderscope.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, neighbours, quality, token_counts, url_filter, warc
+from renderscope.llm import (
+    bpe,
+    exact_dedup,
+    lm_score,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    periodic,
+    phrases,
+    quality,
+    token_counts,
+    url_filter,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,3 +234,55 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, folder, "documents"), planted=True)
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+@query(
+    "op13_phrase_collocations",
+    rf"""
+    WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+    pieces AS (
+        SELECT d, lang, generate_subscripts(p, 1) AS j, unnest(p) AS piece
+        FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS p FROM docs)
+    ),
+    pieced AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (
+        SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS ws
+        FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieced), (VALUES (1), (2), (3)) AS ks(k)
+        WHERE i + k - 1 <= len(w)
+    ),
+    counts AS (SELECT lang, k, phrase, any_value(ws) AS ws, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+    often AS MATERIALIZED (SELECT * FROM counts WHERE f >= 10),
+    parted AS MATERIALIZED (
+        SELECT lang, phrase, k, f AS a, j, array_to_string(ws[1 : j], ' ') AS head, array_to_string(ws[j + 1 :], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM often WHERE k >= 2)
+    ),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.k, c.a, x.f AS l, y.f AS r, c.j, ((c.a::HUGEINT * c.a * 1000000) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM parted c JOIN often x ON x.lang = c.lang AND x.phrase = c.head JOIN often y ON y.lang = c.lang AND y.phrase = c.rest
+    ),
+    scored AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS worst FROM cuts QUALIFY worst = 1),
+    inside AS (
+        SELECT lang, array_to_string(ws[s : s + 1], ' ') AS phrase, max(f) AS longer
+        FROM often, (VALUES (1), (2)) AS starts(s) WHERE k = 3 GROUP BY ALL
+    )
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+    FROM scored s JOIN totals USING (lang) LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 50 * a
+    QUALIFY rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
