@@ -13,22 +13,30 @@ from renderscope.plans.registry import query, rounded
 from renderscope.session import shared_folder
 from renderscope.sources.readers import read_table
 from renderscope.streaming import log as live
+from renderscope.streaming import stateful
 
 
-FILES = 5
+PARTS, FILES = 5, 4
+#: Longer than an event is behind when it comes, shorter than the table.
+LATE = "7 days"
 
 
-def _log(spark, sf):
-    """The events as a log of several files, each one batch; every seventh event comes one file late."""
+def _arrived(spark, sf):
+    """The events as a log that arrives in five parts of several files; every seventh event comes one part late."""
     events = read_table(spark, sf, "events")
     folder = f"{shared_folder(spark)}/arriving/{uuid.uuid4().hex}"
     last = events.agg(F.max("event_id").alias("_most"))  # one row
     late = (F.col("event_id") % 7 == 0).cast("int")
-    part = F.least(F.lit(FILES - 1), F.floor(F.col("event_id") * FILES / (F.col("_most") + 1)) + late)
-    dealt = events.crossJoin(F.broadcast(last)).withColumn("_part", part)
-    for i in range(FILES):
-        dealt.where(F.col("_part") == i).select(*events.columns).coalesce(1).write.mode("append").parquet(folder)
-    return A.from_events(live.file_stream(spark, folder, schemas.EVENTS, files_per_batch=1))
+    part = F.least(F.lit(PARTS - 1), F.floor(F.col("event_id") * PARTS / (F.col("_most") + 1)) + late)
+    events.crossJoin(F.broadcast(last)).withColumn("_part", part).write.partitionBy("_part").parquet(f"{folder}/dealt")
+    dealt = spark.read.parquet(f"{folder}/dealt")
+    for i in range(PARTS):  # each reads its own part only; files of one write make one batch
+        dealt.where(F.col("_part") == i).select(*events.columns).repartition(FILES).write.mode("append").parquet(f"{folder}/log")
+    return f"{folder}/log"
+
+
+def _log(spark, sf):
+    return A.from_events(live.file_stream(spark, _arrived(spark, sf), schemas.EVENTS, files_per_batch=FILES))
 
 
 def _run(start, stream, spark):
@@ -58,6 +66,59 @@ def stream_revisions(spark, sf):
     return live.tag_revisions(A.rating_log(spark, sf).select("id", "reviewer", "passage_id"), first)
 
 
+@query("stream_revision_tags", f"""WITH {A.LOG} SELECT id, reviewer, passage_id,
+    CASE WHEN id = min(id) OVER (PARTITION BY reviewer, passage_id) THEN 'first' ELSE 'revision' END AS save_kind FROM log""")
+def stream_revision_tags(spark, sf):
+    """The tag leaves the stream itself; a late lower id takes it over."""
+    stateful.use_rocksdb(spark)
+    folder = _run(live.keep_table, stateful.tagged_saves(_log(spark, sf)), spark)
+    return live.read_kept(spark, folder, ["id"]).select("id", "reviewer", "passage_id", "save_kind")
+
+
+GAP, SESSION_LATE = "6 hours", "3 days"
+#: Parts of the log, and of each row whether it is more than the delay behind the newest of earlier parts.
+TIMELY = f"""{A.LOG}, dealt AS (SELECT *, least({PARTS - 1}, floor(id * {PARTS} / (max(id) OVER () + 1)) + (id % 7 = 0)::INT) AS part FROM log),
+  newest AS (SELECT part, max(max(created_at)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS horizon FROM dealt GROUP BY part),
+  judged AS (SELECT d.*, coalesce(d.created_at < n.horizon, FALSE) AS behind FROM dealt d JOIN newest n USING (part))"""
+
+
+def _gated(spark, sf):
+    return _run(partial(live.drop_late, late=SESSION_LATE), _log(spark, sf), spark)
+
+
+@query("stream_late_saves", f"""WITH {TIMELY} SELECT reviewer, count(*) AS saves, count(*) FILTER (behind) AS late FROM judged GROUP BY reviewer""")
+def stream_late_saves(spark, sf):
+    """Saves behind the watermark, kept in a side table."""
+    folder = _gated(spark, sf)
+    kinds = [spark.read.parquet(f"{folder}/{k}").select("reviewer", F.lit(k).alias("kind")) for k in ("timely", "late")]
+    return kinds[0].unionByName(kinds[1]).groupBy("reviewer").agg(
+        F.count("*").alias("saves"), F.count_if(F.col("kind") == "late").alias("late")
+    )
+
+
+@query("stream_sessions", f"""WITH {TIMELY}, m AS (SELECT reviewer, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+    FROM judged WHERE NOT behind WINDOW w AS (PARTITION BY reviewer ORDER BY created_at)),
+  s AS (SELECT reviewer, created_at, sum(fresh) OVER (PARTITION BY reviewer ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM m)
+  SELECT reviewer, min(created_at) AS session_start, max(created_at) + INTERVAL 6 HOUR AS session_end, count(*) AS saves FROM s GROUP BY reviewer, k""")
+def stream_sessions(spark, sf):
+    """Sessions as they close in the stream; the end of the log closes the open ones."""
+    folder = _gated(spark, sf)
+    arriving = f"{folder}/ordered"
+    timely = spark.read.parquet(f"{folder}/timely")
+    for i in range(PARTS):  # in order of the gate's batches
+        rows = timely.where(F.col(live.BATCH) == i).drop(live.BATCH)
+        rows.withColumn("created_at", F.col("created_at").cast("timestamp")).repartition(FILES).write.mode("append").parquet(arriving)
+    like = spark.read.parquet(arriving)
+    live.close_sessions(spark, arriving, like, after="30 days")
+    log = live.file_stream(spark, arriving, like.schema.simpleString()[7:-1].replace(":", " "), files_per_batch=FILES)
+    start = partial(live.session_stream, gap=GAP, late=SESSION_LATE)
+    done = _run(start, log, spark)
+    live.close_sessions(spark, arriving, like, after="30 days")
+    start(log, done, once=True).awaitTermination()  # goes on from its checkpoint
+    out = spark.read.parquet(f"{done}/sessions").drop(live.BATCH)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query("stream_ingest", f"""WITH {A.LOG} SELECT reviewer, count(*) FILTER (floor(value / 10) <= 10) AS good,
     count(*) FILTER (floor(value / 10) > 10) AS quarantined FROM log GROUP BY reviewer""")
 def stream_ingest(spark, sf):
@@ -77,7 +138,7 @@ def stream_ingest(spark, sf):
 @query("stream_gaps", f"""WITH {A.LOG} SELECT id, reviewer,
     round(epoch_us(created_at - lag(created_at) OVER (PARTITION BY reviewer ORDER BY id)) / 1e6, 6) AS seconds_since_previous FROM log""")
 def stream_gaps(spark, sf):
-    folder = _run(partial(live.save_gaps, late="60 days"), _log(spark, sf), spark)
+    folder = _run(partial(live.save_gaps, late=LATE), _log(spark, sf), spark)
     return rounded(live.read_gaps(spark, folder), "seconds_since_previous")
 
 
@@ -104,7 +165,7 @@ def stream_visibility(spark, sf):
             )
         )
 
-    folder = _run(partial(live.visibility_clock, late="60 days"), signals(_log(spark, sf)), spark)
+    folder = _run(partial(live.visibility_clock, late=LATE), signals(_log(spark, sf)), spark)
     captures = signals(A.rating_log(spark, sf)).groupBy("save_id").agg((F.max("at_ms") + 5000).alias("captured_ms"))
     clock = rounded(live.read_clock(spark, folder, captures), "visible_ms", "first_visible_ms", "last_visible_ms", places=3)
     return rounded(clock, "max_ratio")

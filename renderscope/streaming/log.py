@@ -43,6 +43,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove a batch that nothing reads again."""
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}={batch_id}")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def _start(
     stream: DataFrame, work: Callable[[DataFrame, int], None], folder: str, mode: str, once: bool
 ) -> StreamingQuery:
@@ -148,6 +154,7 @@ def with_neighbours(
         again = rows.select(*key, order)
         rows = rows.unionByName(kept.join(again, [*key, order], "left_anti"))
     write_batch(_recent(rows.drop("_kept"), key, order, at, late), f"{folder}/recent", batch_id)
+    drop_batch(batch.sparkSession, f"{folder}/recent", batch_id - 2)  # a repeated batch reads the one before it
     return rows.join(batch.select(*key).distinct(), list(key), "left_semi")
 
 
@@ -267,6 +274,49 @@ def sessions(log: DataFrame, *, gap: str = "30 minutes", late: str = "1 hour", b
     ).select(by, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "saves")
 
 
+def drop_late(log: DataFrame, folder: str, *, at: str = "created_at", late: str = "1 hour", once: bool = False) -> StreamingQuery:
+    """Rows in time to ``timely``, those more than ``late`` behind the newest row of earlier batches to ``late``.
+
+    The same rule as a watermark, with the rows kept that a watermark drops in
+    silence. A batch's newest time is written with it, one row, so that a
+    repeated batch decides as it did the first time. Rows without a time are late.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        horizon = F.lit(None).cast("timestamp")
+        if batch_id > 0:
+            newest = batch.sparkSession.read.schema(f"newest timestamp, {BATCH} long").parquet(f"{folder}/newest")
+            newest = newest.where(F.col(BATCH) < batch_id).agg((F.max("newest") - F.expr(f"interval {late}")).alias("_horizon"))
+            rows, horizon = rows.crossJoin(F.broadcast(newest)), F.col("_horizon")  # one row
+        behind = F.coalesce(F.col(at).cast("timestamp") < horizon, F.col(at).isNull())
+        write_batch(rows.where(~behind).select(*batch.columns), f"{folder}/timely", batch_id)
+        write_batch(rows.where(behind).select(*batch.columns), f"{folder}/late", batch_id)
+        write_batch(batch.agg(F.max(at).cast("timestamp").alias("newest")), f"{folder}/newest", batch_id)
+
+    return _start(log, work, folder, "append", once)
+
+
+def close_sessions(spark: SparkSession, folder: str, like: DataFrame, *, at: str = "created_at", after: str) -> None:
+    """End a finished log: a row without a reviewer, ``after`` its last save, moves the watermark past all sessions.
+
+    They come out with the next batch that has rows, so a log is closed twice.
+    """
+    end = spark.read.schema(like.schema).parquet(folder).agg((F.max(at) + F.expr(f"interval {after}")).alias(at))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != at else F.col(at).cast(f.dataType) for f in like.schema]
+    end.where(F.col(at).isNotNull()).select(*rest).write.mode("append").parquet(folder)
+
+
+def session_stream(log: DataFrame, folder: str, *, gap: str = "30 minutes", late: str = "1 hour", once: bool = False) -> StreamingQuery:
+    """Sessions to ``sessions`` once the watermark has passed their end; state holds the open ones alone."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        # Here and not in the stream, where the filter would pass below the watermark and hide the closing row from it.
+        write_batch(batch.where("reviewer is not null"), f"{folder}/sessions", batch_id)
+
+    return _start(sessions(log, gap=gap, late=late), work, folder, "append", once)
+
+
 def activity(log: DataFrame, *, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Tumbling save counts."""
     windowed = log.withWatermark("created_at", late) if log.isStreaming else log

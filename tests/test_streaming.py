@@ -3,12 +3,14 @@
 import random
 import tempfile
 from datetime import datetime, timedelta
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from renderscope.operators import ratings, timing
 from renderscope.streaming import log as live
+from renderscope.streaming import stateful
 
 SCHEMA = (
     "id long, pack_slug string, passage_id long, variant_id string, reviewer string, rating int, "
@@ -160,3 +162,50 @@ def test_sessions_and_activity_as_streams(spark, saves):
     assert closed and closed <= {tuple(r) for r in live.sessions(saves[1], gap="20 minutes").collect()}
     out = run(live.keep_table, live.activity(stream(spark, saves[0])))
     assert live.read_kept(spark, out, ["window_start"]).agg(F.sum("saves")).first()[0] == 240
+
+
+def test_tags_leave_the_stream(spark):
+    stateful.use_rocksdb(spark)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "id long, reviewer string, passage_id long"
+    batches = [[(5, "a", 1), (7, "a", 1), (6, "a", 2)], [(3, "a", 1), (9, "b", 1), (5, "a", 1)], [(4, "a", 1), (8, None, 1), (None, "a", 1)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    out = run(live.keep_table, stateful.tagged_saves(live.file_stream(spark, folder, schema, files_per_batch=1)))
+    rows = spark.read.parquet(f"{out}/table").collect()
+    # The late lower id takes the tag over, and the save that held it goes out again.
+    assert {(r.id, r.save_kind) for r in rows if r.batch_id == 1} == {(3, "first"), (9, "first"), (5, "revision")}
+    newest = {r.id: r.save_kind for r in live.read_kept(spark, out, ["id"]).collect()}
+    assert newest == {3: "first", 4: "revision", 5: "revision", 6: "first", 7: "revision", 8: "first", 9: "first"}
+
+
+def test_sessions_close_and_state_shrinks(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    start, schema = datetime(2026, 1, 1), "reviewer string, created_at timestamp"
+    for day in range(4):
+        rows = [(f"r{i}", start + timedelta(days=day, minutes=i)) for i in range(40)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    log = live.file_stream(spark, folder, schema, files_per_batch=1)
+    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    query = live.session_stream(log, out, once=True)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 80
+    assert spark.read.parquet(f"{out}/sessions").count() == 120  # the last day's are open
+    for _ in range(2):
+        live.close_sessions(spark, folder, spark.read.parquet(folder), after="1 day")
+        query = live.session_stream(log, out, once=True)
+        query.awaitTermination()
+    assert spark.read.parquet(f"{out}/sessions").count() == 160
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2  # no session is left but the closing rows
+
+
+def test_late_rows_are_kept_aside(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    start, schema = datetime(2026, 1, 1), "reviewer string, created_at timestamp"
+    parts = [[("a", start), ("a", start + timedelta(hours=5))], [("b", start + timedelta(hours=3)), ("b", start + timedelta(hours=9)), ("c", None)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    log = live.file_stream(spark, folder, schema, files_per_batch=1)
+    out = run(partial(live.drop_late, late="1 hour"), log)
+    late = [(r.reviewer, r.batch_id) for r in spark.read.parquet(f"{out}/late").collect()]
+    assert sorted(late) == [("b", 1), ("c", 1)] and spark.read.parquet(f"{out}/timely").count() == 3
