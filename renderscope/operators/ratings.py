@@ -189,9 +189,12 @@ def variant_of(run_id: Column) -> Column:
     return F.concat(F.lit(VARIANT_PREFIX), run_id.cast("string"))
 
 
-def merge_audit(focal: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Join each focal translation to its rating and state any broken expectation."""
-    per_passage = ratings.groupBy("passage_id").agg(
+def merge_audit(focal: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Join each focal translation to its rating and state any broken expectation.
+
+    ``by`` names further columns that both have, such as the reviewer who was asked.
+    """
+    per_passage = ratings.groupBy("passage_id", *by).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.max_by(F.struct("id", "rating", "variant_id"), "id").alias("_r"),
     )
@@ -201,7 +204,7 @@ def merge_audit(focal: DataFrame, ratings: DataFrame) -> DataFrame:
         .when(F.col("_r.variant_id") != variant_of(F.col("translation_run_id")), "variant mismatch")
         .otherwise("ok")
     )
-    return focal.join(per_passage, "passage_id", "left").select(
+    return focal.join(per_passage, ["passage_id", *by], "left").select(
         *focal.columns,
         F.col("_r.id").alias("rating_id"),
         F.col("_r.rating").alias("rating"),

@@ -5,6 +5,8 @@ Each adapter has its SQL twin, so a query and its SQL start from equal rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ from renderscope.operators.ratings import latest
 from renderscope.session import staged
 from renderscope.sources.readers import read_table
 
-LOG = """log AS (
-  SELECT event_id AS id, 'events' AS pack_slug, CAST(json_extract_string(props, '$.k') AS BIGINT) AS passage_id,
+#: Each reviewer judges a hundred neighbouring documents; reviewers are dealt over all of them.
+SET_SIZE = 100
+LOG = f"""log AS (
+  SELECT event_id AS id, 'events' AS pack_slug, CAST(json_extract_string(props, '$.k') AS BIGINT)
+           + {SET_SIZE} * (user_id % (SELECT ceil(count(*) / {SET_SIZE}) FROM documents)::BIGINT) AS passage_id,
          event_type AS variant_id, CAST(user_id AS VARCHAR) AS reviewer,
          CAST(least(10, floor(value / 10)) AS INTEGER) AS rating, value, ts AS created_at, ts AS updated_at,
          CASE WHEN event_type IN ('view', 'click') THEN 'assisted' ELSE 'single' END AS treatment
@@ -27,14 +32,20 @@ FIRST = LOG + """, firsts AS (
 
 
 def rating_log(spark: SparkSession, sf: str) -> DataFrame:
-    return from_events(read_table(spark, sf, "events"))
+    return from_events(read_table(spark, sf, "events"), document_sets(spark, sf))
+
+
+def document_sets(spark: SparkSession, sf: str) -> int:
+    """Sets of SET_SIZE documents, from the row count in the file footers."""
+    return max(1, math.ceil(read_table(spark, sf, "documents").count() / SET_SIZE))
 
 
-def from_events(events: DataFrame) -> DataFrame:
+def from_events(events: DataFrame, sets: int) -> DataFrame:
+    place = F.get_json_object("props", "$.k").cast("long")
     return events.select(
         F.col("event_id").alias("id"),
         F.lit("events").alias("pack_slug"),
-        F.get_json_object("props", "$.k").cast("long").alias("passage_id"),
+        (place + SET_SIZE * (F.col("user_id") % sets)).alias("passage_id"),
         F.col("event_type").alias("variant_id"),
         F.col("user_id").cast("string").alias("reviewer"),
         F.least(F.lit(10), F.floor(F.col("value") / 10)).cast("int").alias("rating"),

@@ -141,17 +141,21 @@ def rating_matrix(spark, sf):
 
 @query("rating_merge_audit", f"""WITH {A.LATEST}, per AS (
     SELECT passage_id, reviewer, count(*) AS n, max_by(id, id) AS rating_id, max_by(rating, id) AS rating,
-           max_by(variant_id, id) AS variant_id FROM latest WHERE reviewer = '7' GROUP BY ALL)
-  SELECT d.doc_id AS passage_id, per.rating_id, per.rating, CASE WHEN per.n IS NULL THEN 'missing rating'
-     WHEN per.n > 1 THEN 'duplicate rating' WHEN per.variant_id <> 'cc-' || d.doc_id THEN 'variant mismatch'
+           max_by(variant_id, id) AS variant_id FROM latest GROUP BY ALL),
+  asked AS (SELECT d.doc_id, r.reviewer FROM documents d JOIN (SELECT DISTINCT reviewer, floor(passage_id / {A.SET_SIZE}) AS own FROM latest) r
+    ON r.own = floor(d.doc_id / {A.SET_SIZE}))
+  SELECT a.doc_id AS passage_id, a.reviewer, per.rating_id, per.rating, CASE WHEN per.n IS NULL THEN 'missing rating'
+     WHEN per.n > 1 THEN 'duplicate rating' WHEN per.variant_id <> 'cc-' || a.doc_id THEN 'variant mismatch'
      ELSE 'ok' END AS merge_status
-  FROM documents d LEFT JOIN per ON per.passage_id = d.doc_id""")
+  FROM asked a LEFT JOIN per ON per.passage_id = a.doc_id AND per.reviewer = a.reviewer""")
 def rating_merge_audit(spark, sf):
-    focal = read_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("translation_run_id")
-    )
-    own = A.latest_ratings(spark, sf).where(F.col("reviewer") == "7")
-    return ratings.merge_audit(focal, own).drop("translation_run_id")
+    """Every reviewer's set of documents beside the reviewer's ratings."""
+    latest = A.latest_ratings(spark, sf)
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"))
+    own = latest.select("reviewer", F.floor(F.col("passage_id") / A.SET_SIZE).alias("own")).distinct()
+    asked = docs.withColumn("own", F.floor(F.col("passage_id") / A.SET_SIZE)).join(own, "own").drop("own")
+    focal = asked.withColumn("translation_run_id", F.col("passage_id"))
+    return ratings.merge_audit(focal, latest, by=("reviewer",)).drop("translation_run_id")
 
 
 @query("legacy_rescale", f"""WITH {A.LOG} SELECT id, CASE WHEN floor(value / 10) BETWEEN 0 AND 10

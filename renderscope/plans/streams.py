@@ -36,7 +36,8 @@ def _arrived(spark, sf):
 
 
 def _log(spark, sf):
-    return A.from_events(live.file_stream(spark, _arrived(spark, sf), schemas.EVENTS, files_per_batch=FILES))
+    events = live.file_stream(spark, _arrived(spark, sf), schemas.EVENTS, files_per_batch=FILES)
+    return A.from_events(events, A.document_sets(spark, sf))
 
 
 def _run(start, stream, spark):
