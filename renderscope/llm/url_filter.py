@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from renderscope.llm.common import UPPER
+from renderscope.llm.common import UPPER, ascii_lower
 from renderscope.session import staged
 
 #: Most bytes of one cascade that goes to every executor; longer lists are held in several, one pass each.
@@ -180,13 +180,14 @@ def judge_urls(
     a rule fits its host and all subdomains where the path starts with the
     rule's, and the longest wins. A url that no rule fits is not listed, hence
     allowed. Null urls and urls without ``://`` have empty host and path and fit
-    none. Repeated rows are judged alike, empty input gives no rows, other
+    none. Hosts of rules are lower-cased like those of urls, A-Z only; of rules with
+    one key, a blocking one holds. Repeated rows are judged alike, empty input gives no rows, other
     columns are not looked at. A list too long for one cascade of
     ``pass_bytes`` is split by key hash into several, one pass over the urls each.
     """
     host, path = split_url(F.col(url_col))
     parts = urls.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rules = staged(rules.select(F.lower("host").alias("host"), "path", "verdict"))
+    rules = staged(rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict"))
     n_rules = rules.count()
     if not n_rules:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
@@ -203,8 +204,10 @@ def judge_urls(
         .agg(F.max("listed").alias("listed"), F.max("blocks").alias("blocks"))
         .select(a.alias("a"), b.alias("b"), "listed", "blocks")
     )
-    # Twice the bits of the first filter bound the cascade: each later one is smaller by far.
-    passes = max(1, math.ceil(2 * _shape(n_rules, FIRST_RATE)[0] / 8 / pass_bytes))
+    # The second filter holds what the first lets through by mistake: a part of the universe, however few the rules.
+    mistaken = math.ceil(universe.count() * FIRST_RATE)
+    bits = _shape(n_rules, FIRST_RATE)[0] + 2 * _shape(mistaken, NEXT_RATE)[0]  # twice: later filters are smaller
+    passes = max(1, math.ceil(bits / 8 / pass_bytes))
     names = ["rule", "blocks"]
     judged = keyed.withColumns({"rule": F.lit(None).cast("string"), "blocks": F.lit(False)})
     for i in range(passes):

@@ -52,3 +52,20 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2
     assert (cascade.contains(a, b) == listed).all()
     assert cascade.size < 20_000
+
+
+def test_rules_beyond_ascii_and_repeated(spark):
+    rules = [("Ècom.net", "/", "block"), ("b.net", "/", "allow"), ("B.net", "/", "block")]
+    urls = ["http://Ècom.net/x", "http://a.Ècom.NET/", "http://ècom.net/", "http://b.net/", "http://c.net/"]
+    got = url_filter.judge_urls(
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"),
+        spark.createDataFrame(rules, "host string, path string, verdict string"),
+    ).collect()
+    assert [r.verdict for r in sorted(got)] == ["block", "block", "allow", "block", "allow"]
+
+
+def test_passes_follow_the_universe(spark):
+    """False positives of the first filter take room, however few the rules are."""
+    urls = spark.range(30_000).selectExpr("id page_id", "concat('http://h', id, '.com/p', id) url")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    assert url_filter.judge_urls(urls, rules, pass_bytes=100).filter("verdict = 'block' and rule = 'com/'").count() == 30_000
