@@ -23,6 +23,7 @@ from renderscope.llm import (
     url_filter,
     warc,
 )
+from renderscope.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,7 +192,7 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     lengths = token_counts.token_lengths(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    return token_counts.by_limit(token_counts.length_histogram(lengths))
+    return token_counts.by_limit(staged(token_counts.length_histogram(lengths)))  # texts are encoded once
 
 
 @query("op10_bpe_round_trip")
