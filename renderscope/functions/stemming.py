@@ -144,4 +144,4 @@ def stemmed(words: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_long_words(words: pd.Series) -> pd.Series:
     """Stems of the words longer than three letters in a token list."""
-    return words.map(lambda ws: [stem(w) if len(w) > 3 else w for w in ws])
+    return words.map(lambda ws: ws if ws is None else [stem(w) if len(w) > 3 else w for w in ws])

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ SPACED_13A = (
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CHRF_CHAR_ORDER, CHRF_WORD_ORDER, CHRF_BETA = 6, 2, 2.0
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
+#: Rows of a distance table that are one integer; masks of a block stay within 8 MB.
+BLOCK_TOKENS = 8_192
 
 
 def spread(pairs: DataFrame, key: str) -> DataFrame:
@@ -216,41 +217,70 @@ def chrfpp(pairs: DataFrame, key: str) -> DataFrame:
     return overlaps(prepared, key, families).select(key, chrf_score().alias("chrfpp"))
 
 
-def _codes(left, right) -> tuple[np.ndarray, np.ndarray]:
-    ids: dict[str, int] = {}
-    return tuple(np.array([ids.setdefault(t, len(ids)) for t in side], dtype=np.int64) for side in (left, right))
+def _blocks(tokens):
+    """Token list in blocks: its length and, per token, the places where it stands as the bits of one integer."""
+    for start in range(0, len(tokens), BLOCK_TOKENS):
+        block = tokens[start : start + BLOCK_TOKENS]
+        masks: dict[str, int] = {}
+        for at, token in enumerate(block):
+            masks[token] = masks.get(token, 0) | 1 << at
+        yield len(block), masks
 
 
 def _edit_distance(left, right) -> int:
-    a, b = _codes(left, right)
-    steps = np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, token in enumerate(a, start=1):
-        best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (b != token))))
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Bit-parallel: a column of the distance table is two bit vectors, of its rises and its falls.
+
+    A block of rows hands on how each column changes at its last row, so memory
+    is one block's masks and one number a column.
+    """
+    steps = [1] * len(right)
+    for size, masks in _blocks(left):
+        rises, falls, every, last = (1 << size) - 1, 0, (1 << size) - 1, size - 1
+        for j, token in enumerate(right):
+            above = steps[j]
+            same = masks.get(token, 0)
+            down = same | falls
+            if above < 0:
+                same |= 1
+            across = ((same & rises) + rises) ^ rises | same
+            up, low = falls | every & ~(across | rises), rises & across
+            steps[j] = (up >> last & 1) - (low >> last & 1)
+            up, low = up << 1 | (above > 0), low << 1 | (above < 0)
+            rises, falls = (low | ~(down | up)) & every, up & down & every
+    return len(left) + sum(steps)
 
 
 def _common_subsequence(left, right) -> int:
-    a, b = _codes(left, right)
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for token in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == token)))
-    return int(row[-1])
+    """Bit-parallel: a place is cleared where the best length rises; blocks hand on the carry of each column."""
+    carries, length = bytearray(len(right)), 0
+    for size, masks in _blocks(left):
+        level = every = (1 << size) - 1
+        for j, token in enumerate(right):
+            hit = level & masks.get(token, 0)
+            total = level + hit + carries[j]
+            carries[j] = total >> size
+            level = (total | level - hit) & every
+        length += size - level.bit_count()
+    return length
+
+
+def _per_pair(measure, left: pd.Series, right: pd.Series) -> pd.Series:
+    found = [None if a is None or b is None else measure(a, b) for a, b in zip(left, right)]
+    return pd.Series(found, dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())
 def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_edit_distance(a, b) for a, b in zip(left, right)])
+    return _per_pair(_edit_distance, left, right)
 
 
 @F.pandas_udf(T.LongType())
 def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_common_subsequence(a, b) for a, b in zip(left, right)])
+    return _per_pair(_common_subsequence, left, right)
 
 
 def word_edit_similarity(pairs: DataFrame, key: str) -> DataFrame:
-    """1 - word edit distance / longer side, over whole texts."""
+    """1 - word edit distance / longer side, over whole texts; NULL where a text is missing."""
     longer = F.greatest(F.size("_c"), F.size("_r"), F.lit(1))
     return _tokenised(pairs, key).select(
         key, (1.0 - edit_distance("_c", "_r") / longer).alias("word_edit_similarity")
@@ -263,14 +293,14 @@ def rouge_tokens(text: Column, *, stem: bool) -> Column:
 
 
 def rouge_l(pairs: DataFrame, key: str, *, stem: bool = True) -> DataFrame:
-    """F-measure of the longest common subsequence, over whole texts."""
+    """F-measure of the longest common subsequence, over whole texts; NULL where a text is missing."""
     prepared = spread(pairs, key).select(
         key,
         rouge_tokens(F.col("candidate"), stem=stem).alias("_c"),
         rouge_tokens(F.col("reference"), stem=stem).alias("_r"),
     )
     both = F.size("_c") + F.size("_r")
-    score = F.coalesce(F.try_divide(2.0 * common_subsequence("_c", "_r"), both), F.lit(0.0))
+    score = F.when(both > 0, 2.0 * common_subsequence("_c", "_r") / both).when(both == 0, 0.0)
     return prepared.select(key, score.alias("rouge_l"))
 
 

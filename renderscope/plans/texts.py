@@ -216,6 +216,18 @@ def rouge_l_stemmed(spark, sf):
     return lexical.rouge_l(A.turn_pairs(spark, sf), "pair_id")
 
 
+@query("document_edit_similarity")
+def document_edit_similarity(spark, sf):
+    """Word edit similarity of whole documents."""
+    return lexical.word_edit_similarity(A.document_pairs(spark, sf), "pair_id")
+
+
+@query("document_rouge_l")
+def document_rouge_l(spark, sf):
+    """Stemmed longest common subsequence of whole documents."""
+    return lexical.rouge_l(A.document_pairs(spark, sf), "pair_id")
+
+
 METEOR_SQL = f"""WITH {A.DOC_PAIRS}, {PAIR_TOKENS},
   ct AS (SELECT pair_id, unnest(c) AS form, unnest(range(1, len(c) + 1)) AS pos FROM toks),
   rt AS (SELECT pair_id, unnest(r) AS form, unnest(range(1, len(r) + 1)) AS pos FROM toks),

@@ -1,5 +1,7 @@
 """Hand-worked scores, edge cases and brute force for the pair metrics."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,17 +113,49 @@ def brute_lcs(a, b):
     return best[len(a), len(b)]
 
 
-def test_dynamic_programs_against_brute_force():
+@pytest.mark.parametrize("block", [3, 8, 8_192])
+def test_dynamic_programs_against_brute_force(monkeypatch, block):
     import random
 
+    monkeypatch.setattr(lexical, "BLOCK_TOKENS", block)
     rng = random.Random(1)
     for _ in range(60):
-        a = [rng.choice("abcd") for _ in range(rng.randrange(12))]
-        b = [rng.choice("abcd") for _ in range(rng.randrange(12))]
+        a = [rng.choice("abcd") for _ in range(rng.randrange(30))]
+        b = [rng.choice("abcde") for _ in range(rng.randrange(30))]
         assert lexical._edit_distance(a, b) == brute_edit(a, b)
         assert lexical._common_subsequence(a, b) == brute_lcs(a, b)
 
 
+def test_long_lists_over_several_blocks():
+    a, b = [f"w{i}" for i in range(20_000)], [f"w{i}" for i in range(0, 40_000, 2)]
+    assert lexical._common_subsequence(a, b) == 10_000
+    assert lexical._edit_distance(a, a[5_000:]) == 5_000
+    assert lexical._edit_distance(a, ["x"] * 100) == 20_000
+    assert lexical._edit_distance([], a) == lexical._edit_distance(a, []) == 20_000
+
+
+def test_document_scores_against_brute_force(spark, monkeypatch):
+    from renderscope.functions.stemming import stem as one
+    from renderscope.plans import texts
+
+    rows = [(i, c, r) for i, c, r in PAIRS] + [(9, "the cats are running home " * 40, "a cat runs home and the dogs ran " * 30), (10, None, "a b")]
+    pairs = spark.createDataFrame(rows, "pair_id int, candidate string, reference string")
+    monkeypatch.setattr(texts.A, "document_pairs", lambda spark, sf: pairs)
+    edits = {r.pair_id: r.word_edit_similarity for r in texts.document_edit_similarity(spark, "").collect()}
+    rouge = {r.pair_id: r.rouge_l for r in texts.document_rouge_l(spark, "").collect()}
+    assert set(edits) == set(rouge) == {r[0] for r in rows}
+    plain = {r.pair_id: r for r in pairs.select("pair_id", X.tokens(F.col("candidate")).alias("a"), X.tokens(F.col("reference")).alias("b")).collect()}
+    for key, c, r in rows:
+        if c is None:
+            assert edits[key] is None and rouge[key] is None
+            continue
+        a, b = plain[key].a, plain[key].b
+        assert edits[key] == pytest.approx(1 - brute_edit(a, b) / max(len(a), len(b), 1))
+        sides = [[one(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", t.lower())] for t in (c, r)]
+        total = sum(map(len, sides))
+        assert rouge[key] == pytest.approx(2 * brute_lcs(*sides) / total if total else 0)
+
+
 def test_text_expressions(spark):
     df = spark.createDataFrame(
         [(1, "Abc:  def"), (2, "A long, name"), (3, "  "), (4, "x" * 300), (5, "漢字\U00020000 λόγος")], "id int, t string"
