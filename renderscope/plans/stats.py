@@ -24,6 +24,32 @@ def rank_sql(value: str, *keys: str) -> str:
     return f"(rank() OVER ({part} ORDER BY {value}) + (count(*) OVER ({ties}) - 1) / 2.0::DOUBLE)"
 
 
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided Student t tail as the closed finite sum for whole degrees of freedom."""
+    cos2, sin = f"({df} / ({df} + ({t}) ^ 2))", f"(abs({t}) / sqrt({df} + ({t}) ^ 2))"
+
+    def total(count: str, log_term: str) -> str:
+        terms = f"list_transform(range(0, {count}), lambda k: exp(k * ln{cos2} + {log_term}))"
+        return f"coalesce(list_sum({terms}), 0)"
+
+    even = f"{sin} * {total(f'{df} // 2', 'lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)')}"
+    odd = f"(atan(abs({t}) / sqrt({df})) + {sin} * sqrt{cos2} * {total(f'({df} - 1) // 2', 'lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)')}) * 2 / pi()"
+    return f"greatest(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END, 0)"
+
+
+def corr_p_sql(r: str, df: str) -> str:
+    gap = f"((1 - {r}) * (1 + {r}))"
+    tail = t_tail_sql(f"({r} * sqrt({df} / {gap}))", df)
+    return f"CASE WHEN {r} IS NOT NULL AND {df} > 0 THEN CASE WHEN {gap} > 0 THEN abs(round({tail}, 6)) ELSE 0 END END"
+
+
+def normal_tail_sql(z: str) -> str:
+    """Two-sided normal tail by the all-positive power series of erf."""
+    x = f"(abs({z}) / sqrt(2))"
+    terms = f"list_transform(range(0, 400), lambda k: exp((2 * k + 1) * ln{x} - lgamma(k + 1.5) - {x} ^ 2))"
+    return f"CASE WHEN {z} = 0 THEN 1 WHEN abs({z}) > 15 THEN 0 ELSE greatest(1 - list_sum({terms}), 0) END"
+
+
 # ---- metric store
 
 LINE_METRICS = ["quantity", "price", "discount", "tax"]
@@ -238,9 +264,20 @@ def log2_slope(spark, sf):
     return rounded(out, "change_per_doubling", "stderr")
 
 
-@query("log2_slope_interval")
+_MID = "((a[1] + a[2]) / 2)"
+_HALVED = f"CASE WHEN {t_tail_sql(f'(sqrt(df) * tan({_MID}))', 'df')} > 0.05 THEN [{_MID}, a[2]] ELSE [a[1], {_MID}] END"
+
+
+@query("log2_slope_interval", f"""WITH {A.METRIC_LONG}, fit AS (SELECT lang, metric, count(*) AS n, count(*) - 2 AS df, regr_slope(score, log2(reference_words)) AS b,
+    sqrt((regr_syy(score, log2(reference_words)) - regr_sxy(score, log2(reference_words)) ^ 2 / regr_sxx(score, log2(reference_words)))
+      / (count(*) - 2) / regr_sxx(score, log2(reference_words))) AS se FROM metric_long GROUP BY lang, metric),
+  sizes AS (SELECT DISTINCT df FROM fit),
+  angles AS (SELECT df, list_reduce(list_transform(range(0, 60), lambda i: [0::DOUBLE, pi() / 2]), lambda a, e: {_HALVED}) AS a FROM sizes)
+  SELECT lang, metric, n, round(b, 6) AS change_per_doubling, round(se, 6) AS stderr, round(b - sqrt(df) * tan({_MID}) * se, 6) AS ci_95_low,
+    round(b + sqrt(df) * tan({_MID}) * se, 6) AS ci_95_high, abs(round({t_tail_sql('(b / se)', 'df')}, 6)) AS p FROM fit JOIN angles USING (df)""")
 def log2_slope_interval(spark, sf):
-    return regression.log2_slope(A.metric_long(spark, sf), ["lang", "metric"], "reference_words", "score", with_p=True)
+    out = regression.log2_slope(A.metric_long(spark, sf), ["lang", "metric"], "reference_words", "score", with_p=True)
+    return rounded(out, "change_per_doubling", "stderr", "ci_95_low", "ci_95_high", "p")
 
 
 # ---- correlation
@@ -330,10 +367,37 @@ def association(spark, sf):
     return rounded(out, "pearson_r", "spearman_rho", "kendall_tau")
 
 
-@query("association_p")
+ASSOCIATION_COLUMNS = ("pearson_r", "spearman_rho", "kendall_tau", "pearson_p", "spearman_p", "kendall_p")
+
+
+def association_p_sql(head: str, keys: str, x: str, y: str) -> str:
+    """All correlations of a table ``src`` (keys, x, y, row_no) with p; Kendall's is the normal one, for samples with ties."""
+    ties = ", ".join(
+        f"""t_{side} AS (SELECT {keys}, sum(t * (t - 1) * (2 * t + 5))::DOUBLE AS c1_{side}, sum(t * (t - 1) * (t - 2))::DOUBLE AS c0_{side}
+      FROM (SELECT {keys}, {value}, count(*) AS t FROM src GROUP BY ALL) GROUP BY ALL)"""
+        for side, value in (("x", x), ("y", y))
+    )
+    key_list = [k.strip() for k in keys.split(",")]
+    variance = """((n * (n - 1.0) * (2 * n + 5) - c1_x - c1_y) / 18 + 2.0 * tx * ty / (n * (n - 1.0))
+      + CASE WHEN n > 2 THEN c0_x * c0_y / (9.0 * n * (n - 1.0) * (n - 2.0)) ELSE 0 END)::DOUBLE"""
+    return f"""{head}, rk AS (SELECT *, {rank_sql(x, *key_list)} AS rx, {rank_sql(y, *key_list)} AS ry FROM src),
+  corrs AS (SELECT {keys}, count(*) AS n, {corr_sql(x, y)} AS p, CASE WHEN count(*) >= 3 THEN {corr_sql('rx', 'ry')} END AS s FROM rk GROUP BY ALL),
+  tau AS ({_tau_sql(x, y, keys, 'src')}), {ties},
+  parts AS (SELECT *, n - 2 AS df, CASE WHEN pairs > tx AND pairs > ty THEN (c - d) / (sqrt(pairs - tx) * sqrt(pairs - ty)) END AS k,
+    CASE WHEN pairs > tx AND pairs > ty AND {variance} > 0 THEN (c - d) / sqrt({variance}) END AS z
+    FROM corrs LEFT JOIN tau USING ({keys}) JOIN t_x USING ({keys}) JOIN t_y USING ({keys}))
+  SELECT {keys}, n, round(p, 6) AS pearson_r, round(s, 6) AS spearman_rho, round(k, 6) AS kendall_tau,
+    {corr_p_sql('p', 'df')} AS pearson_p, {corr_p_sql('s', 'df')} AS spearman_p,
+    CASE WHEN z IS NOT NULL THEN abs(round({normal_tail_sql('z')}, 6)) END AS kendall_p FROM parts"""
+
+
+ASSOCIATION_SRC = f"WITH {A.RATED}, src AS (SELECT reviewer, rating, ttr, id AS row_no FROM rated)"
+
+
+@query("association_p", association_p_sql(ASSOCIATION_SRC, "reviewer", "rating", "ttr"))
 def association_p(spark, sf):
     rows = A.rated(spark, sf).select("reviewer", "rating", "ttr")
-    return assoc.association(rows, ["reviewer"], "rating", "ttr", with_p=True)
+    return rounded(assoc.association(rows, ["reviewer"], "rating", "ttr", with_p=True), *ASSOCIATION_COLUMNS)
 
 
 @query("order_accuracy", f"""WITH {A.RATED}, src AS (SELECT reviewer, rating, ttr, id AS row_no FROM rated),
@@ -357,6 +421,19 @@ def partial_rank(spark, sf):
     return rounded(out, "r_xy", "r_xz", "r_yz", "partial_rho")
 
 
+@query("partial_rank_p", f"""WITH {A.RATED}, rk AS (SELECT reviewer, {rank_sql('rating', 'reviewer')} AS x,
+    {rank_sql('ttr', 'reviewer')} AS y, {rank_sql('reference_words', 'reviewer')} AS z FROM rated),
+  c AS (SELECT reviewer, count(*) AS n, {corr_sql('x', 'y')} AS xy, {corr_sql('x', 'z')} AS xz, {corr_sql('y', 'z')} AS yz
+    FROM rk GROUP BY reviewer HAVING count(*) > 3),
+  g AS (SELECT reviewer, n, n - 3 AS d3, n - 2 AS d2,
+    CASE WHEN (1 - xz ^ 2) * (1 - yz ^ 2) > 1e-12 THEN (xy - xz * yz) / sqrt((1 - xz ^ 2) * (1 - yz ^ 2)) END AS r FROM c)
+  SELECT reviewer, n, round(r, 6) AS partial_rho, {corr_p_sql('r', 'd3')} AS p_formula, {corr_p_sql('r', 'd2')} AS p_residual FROM g""")
+def partial_rank_p(spark, sf):
+    """Partial rank correlation, length held fixed, with the p of the formula and of correlated residuals."""
+    out = assoc.partial_rank(A.rated(spark, sf), ["reviewer"], "rating", "ttr", "reference_words", with_p=True)
+    return rounded(out.drop("r_xy", "r_xz", "r_yz"), "partial_rho", "p_formula", "p_residual")
+
+
 LENGTHS_LONG = A.METRIC_LONG + """, sized AS (
     SELECT metric, passage_id, score, 'words' AS length, CAST(reference_words AS DOUBLE) AS size FROM metric_long
     UNION ALL SELECT metric, passage_id, score, 'chars', CAST(n_chars AS DOUBLE) FROM metric_long JOIN toks ON doc_id = passage_id)"""
@@ -370,9 +447,12 @@ def length_associations(spark, sf):
     return _length_associations(spark, sf).drop("kendall_tau")
 
 
-@query("length_kendall")
+LENGTHS_SRC = f"WITH {LENGTHS_LONG}, src AS (SELECT length, metric, size, score, passage_id AS row_no FROM sized WHERE score IS NOT NULL)"
+
+
+@query("length_kendall", association_p_sql(LENGTHS_SRC, "length, metric", "size", "score"))
 def length_kendall(spark, sf):
-    return _length_associations(spark, sf, with_p=True)
+    return rounded(_length_associations(spark, sf, with_p=True), "pearson_p", "spearman_p", "kendall_p")
 
 
 def _length_associations(spark, sf, with_p=False):
