@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from renderscope.operators import exposure, quality, ratings, timing
 from renderscope.operators.association import spearman
 from renderscope.plans import adapters as A
 from renderscope.plans.registry import query, rounded
+from renderscope.session import shared_folder
 from renderscope.sources.readers import extract_by_ids, read_table
-from renderscope.sources.tables import as_append_only, rescaled_log, with_defaults
+from renderscope.sources.tables import as_append_only, current_version, migrate_append_only, rescaled_log, with_defaults
 
 VARIANTS = ["click", "error", "purchase", "signup", "view"]
 ROW = ["id", "pack_slug", "passage_id", "variant_id", "reviewer", "rating", "created_at"]
@@ -166,6 +169,18 @@ def legacy_rescale(spark, sf):
     return as_append_only(rescaled_log(complete), ["id", "rating", "exposure_json", "notes"])
 
 
+@query("legacy_migration", f"""WITH {A.LOG} SELECT id, reviewer, passage_id, CASE WHEN floor(value / 10) BETWEEN 0 AND 10
+    THEN CAST(floor(value / 10) AS INTEGER) END AS rating, '{{}}' AS exposure_json FROM log""")
+def legacy_migration(spark, sf):
+    """The rescaled log written as a checked new version of the append-only table, and read back."""
+    log = A.rating_log(spark, sf)
+    old = log.select("id", "reviewer", "passage_id", F.floor(F.col("value") / 10).cast("int").alias("rating"))
+    path = f"{shared_folder(spark)}/migrated/{uuid.uuid4().hex}"
+    columns = ["id", "reviewer", "passage_id", "rating", "exposure_json"]
+    migrate_append_only(rescaled_log(with_defaults(old, {"exposure_json": "{\"old\": 1}"})), path, columns, 1)
+    return current_version(spark, path).select(*columns)
+
+
 TRACED = f"WITH {A.LOG}, {A.TRACED.format(source='log')} "
 FIRST_TRACED = f"WITH {A.FIRST}, {A.TRACED.format(source='firsts')} "
 

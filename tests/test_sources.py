@@ -3,6 +3,7 @@
 import json
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from renderscope import schemas
@@ -108,3 +109,30 @@ def test_grid_takes_more_profiles_than_one_array(spark, monkeypatch):
     grid = planning.profile_grid(spark.range(3), profiles, ["profile_id", "name"])
     assert sorted((r.id, r.profile_id, r["name"]) for r in grid.collect()) == [(i, p, "p") for i in range(3) for p in range(30)]
     assert planning.profile_grid(spark.range(3), profiles.limit(0), ["profile_id"]).collect() == []
+
+
+def test_migration_keeps_every_row_or_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    old = spark.createDataFrame([(i, i % 3, None if i % 4 == 0 else i) for i in range(50)], "id long, reviewer long, rating int")
+    assert tables.migrate_append_only(old, path, ["id", "rating"], 1) == 50
+    assert sorted(map(tuple, tables.current_version(spark, path).collect())) == [(i, None if i % 4 == 0 else i) for i in range(50)]
+    with pytest.raises(tables.CheckFailed, match="exists"):
+        tables.migrate_append_only(old, path, ["id"], 1)
+    short = {"rows": (F.count(F.lit(1)), 50)}
+    with pytest.raises(tables.CheckFailed, match="49, 50"):
+        tables.write_checked(old.where("id > 0"), f"{path}/version=2", short)
+    assert tables.current_version(spark, path).count() == 50
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["version=1"]
+    empty = old.limit(0)
+    assert tables.migrate_append_only(empty, str(tmp_path / "none"), ["id", "rating"], 1) == 0
+
+
+def test_migration_refuses_swapped_keys(spark, tmp_path):
+    """As many rows, but not the same keys."""
+    old = spark.createDataFrame([(i,) for i in range(20)], "id long")
+    digest = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+    expected = {"rows": (F.count(F.lit(1)), 20), "hashes": (digest, old.agg(digest).first()[0])}
+    doubled = old.select(F.when(F.col("id") == 7, 8).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(tables.CheckFailed):
+        tables.write_checked(doubled, str(tmp_path / "bad"), expected)
+    assert list(tmp_path.iterdir()) == []
