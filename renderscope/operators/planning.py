@@ -42,6 +42,9 @@ OUTPUT_RULES = (
     ((), (), 180, 1.8, "base", "single translation component"),
 )
 CORE_PRIORITY = 4  # fixed value
+# States of a finished run; calibration without runs.
+FINISHED = ("completed", "approved")
+DEFAULT_FACTORS = (1.0, 1.2)
 #: Profiles that travel in one array.
 GRID_PROFILE_LIMIT = 10_000
 TIER_PRIORITY = {"primary_random_review": 10, "secondary_random_review": 50}
@@ -141,6 +144,41 @@ def request_text(lemma: Column, number: Column, source: Column, task: str = "Tra
     )
 
 
+def request_body(
+    model: Column, prompt: Column, message: Column, temperature: Column | None = None, top_p: Column | None = None
+) -> Column:
+    """Compact JSON body of a chat request; missing texts are empty, missing settings 1.0."""
+
+    def said(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
+
+    def setting(value: Column | None) -> Column:
+        return F.lit(1.0) if value is None else F.coalesce(value, F.lit(1.0))
+
+    return F.to_json(
+        F.struct(
+            F.coalesce(model, F.lit("")).alias("model"),
+            F.array(said("system", prompt), said("user", message)).alias("messages"),
+            setting(temperature).alias("temperature"),
+            setting(top_p).alias("top_p"),
+        )
+    )
+
+
+def message_length(message: Column) -> Column:
+    """Length of a message inside a JSON body: a body is as long as one with an empty message plus this.
+
+    So a grid of passages and profiles escapes each text once, not once a cell.
+    """
+    alone = F.to_json(F.struct(F.coalesce(message, F.lit("")).alias("m")))
+    return F.length(alone) - len('{"m":""}')
+
+
+def calibrated_tokens(body_length: Column, factor: Column) -> Column:
+    """Input size of a request of so many characters."""
+    return F.greatest(F.lit(1), F.ceil(body_length / F.lit(4.0) * factor)).cast("long")
+
+
 def input_tokens(body: Column, factor: float) -> Column:
     """Calibrated input size of a compact JSON request body."""
     return F.greatest(F.lit(1), F.ceil(F.length(body) / F.lit(4.0) * F.lit(factor))).cast("long")
@@ -203,21 +241,31 @@ def latest_k(df: DataFrame, when: str, row: str, k: int) -> DataFrame:
 
 
 def token_calibration(runs: DataFrame, *, k: int = 2000) -> DataFrame:
-    """Median and rounded-up-index p90 of actual over estimated tokens, newest k runs."""
-    newest = latest_k(runs.where(F.col("input_tokens") > 0), "completed_at", "run_id", k)
+    """Median and rounded-up-index p90 of actual over estimated tokens, newest k runs with a request.
+
+    Where runs have a ``status``, finished ones alone count. Without any run the
+    one row says 0 runs and the default factors.
+    """
+    usable = runs.where((F.col("input_tokens") > 0) & F.col("request_body").isNotNull())
+    if "status" in runs.columns:
+        usable = usable.where(F.col("status").isin(*FINISHED))
+    newest = latest_k(usable, "completed_at", "run_id", k)
     estimated = F.greatest(F.lit(1), F.ceil(F.length("request_body") / F.lit(4.0)))
     ratios = newest.select(F.lit(1).alias("_all"), (F.col("input_tokens") / estimated).alias("ratio"))
     median = percentiles(ratios, ["_all"], "ratio", {"median": 0.5})
     high = percentiles(ratios, ["_all"], "ratio", {"p90": 0.9}, ceil_index=True)
     count = ratios.groupBy("_all").agg(F.count(F.lit(1)).alias("sample_runs"))
-    return count.join(median, "_all").join(high, "_all").select(
-        "sample_runs", F.round("median", 4).alias("median_factor"), F.round("p90", 4).alias("p90_factor")
+    found = count.join(median, "_all").join(high, "_all")
+    return runs.sparkSession.range(1).select(F.lit(1).alias("_all")).join(found, "_all", "left").select(
+        F.coalesce("sample_runs", F.lit(0)).alias("sample_runs"),
+        F.coalesce(F.round("median", 4), F.lit(DEFAULT_FACTORS[0])).alias("median_factor"),
+        F.coalesce(F.round("p90", 4), F.lit(DEFAULT_FACTORS[1])).alias("p90_factor"),
     )
 
 
 def existing_state(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Finished runs and open requests."""
     return runs.groupBy(*by).agg(
-        F.count_if(F.col("status").isin("completed", "approved")).alias("completed_runs"),
+        F.count_if(F.col("status").isin(*FINISHED)).alias("completed_runs"),
         F.count_if(F.col("status").isin("pending", "running")).alias("open_requests"),
     )

@@ -329,6 +329,62 @@ def cost_by_profile(spark, sf):
     return planning.cost_by_profile(_cost_grid(spark, sf))
 
 
+# One kind of profile per output rule, dealt to the nations; a nation's name is its prompt.
+KINDS = ("audit_pack", "lattice_pack", "interlinear", "learner", "decision", "syntax", "memory_pack", "plain", "plain", "plain")
+STYLES = {7: "creative", 8: "analysis"}
+_NATION_KIND = " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(KINDS))
+_RULE_SQL = " ".join(
+    f"WHEN {i} THEN greatest({floor}, ceil({'s' if on == 'source' else 'b'} * {factor}::DOUBLE))"
+    for i, (_, _, floor, factor, on, _) in enumerate(planning.OUTPUT_RULES)
+)
+_BASIS_SQL = " ".join(f"WHEN {i} THEN '{rule[-1]}'" for i, rule in enumerate(planning.OUTPUT_RULES))
+_BODY_SQL = """to_json({{'model': 'standard', 'messages': [{{'role': 'system', 'content': {prompt}}}, {{'role': 'user', 'content': {message}}}],
+    'temperature': {temperature}, 'top_p': 1.0::DOUBLE}})"""
+CALIBRATED = f"""kinds AS (SELECT n_nationkey % {len(KINDS)} AS rule, CASE n_nationkey % {len(KINDS)} {_NATION_KIND} END || '_' || n_nationkey AS profile_name,
+    coalesce(n_name, '') AS prompt, CASE WHEN n_regionkey = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS temperature FROM nation),
+  msgs AS (SELECT doc_id, lang, n_chars, {REQUEST} AS msg, length(text)::DOUBLE AS chars, len({A.TOKENS_SQL.format('text')}) AS input_tokens FROM documents),
+  ratios AS (SELECT input_tokens / greatest(1, ceil(length({_BODY_SQL.format(prompt="''", message='msg', temperature='1.0::DOUBLE')}) / 4.0::DOUBLE)) AS ratio FROM msgs
+    WHERE input_tokens > 0 AND coalesce(lang, '') <> 'fr' ORDER BY CASE WHEN lang <> 'es' THEN n_chars END DESC NULLS LAST, doc_id DESC LIMIT 2000),
+  placed AS (SELECT ratio, row_number() OVER (ORDER BY ratio) - 1 AS spot, count(*) OVER () AS n FROM ratios),
+  factors AS (SELECT coalesce(round(quantile_cont(ratio, 0.5), 4), 1.0::DOUBLE) AS median_factor,
+    coalesce(round(max(ratio) FILTER (spot = ceil((n - 1) * 0.9::DOUBLE)), 4), 1.2::DOUBLE) AS p90_factor FROM placed),
+  cells AS (SELECT doc_id, profile_name, rule, length({_BODY_SQL.format(prompt='prompt', message='msg', temperature='temperature')}) / 4.0::DOUBLE AS size,
+    ceil(chars / 2.6::DOUBLE)::BIGINT AS s, greatest(ceil(chars / 4)::BIGINT, ceil(chars / 2.6::DOUBLE)::BIGINT) AS b FROM msgs, kinds)"""
+
+
+@query("cost_calibrated", f"""WITH {CALIBRATED}
+  SELECT doc_id, profile_name, CASE rule {_BASIS_SQL} END AS basis, greatest(1, ceil(size * median_factor))::BIGINT AS expected_input_tokens,
+    greatest(1, ceil(size * p90_factor))::BIGINT AS high_input_tokens, (CASE rule {_RULE_SQL} END)::BIGINT AS expected_output_tokens FROM cells, factors""")
+def cost_calibrated(spark, sf):
+    """Every document with a profile of each output rule: JSON bodies, sized by factors of the newest finished runs."""
+    docs = read_table(spark, sf, "documents").repartition("doc_id")
+    message = planning.request_text(F.col("source"), F.col("doc_id").cast("int"), F.col("text"))
+    model = F.lit("standard")
+    runs = docs.select(
+        F.col("doc_id").alias("run_id"), planning.request_body(model, F.lit(""), message).alias("request_body"),
+        F.size(X.tokens(F.col("text"))).alias("input_tokens"), F.when(F.col("lang") == "fr", "failed").otherwise("approved").alias("status"),
+        F.when(F.col("lang") != "es", F.col("n_chars")).alias("completed_at"),
+    )
+    rule = F.col("n_nationkey") % len(KINDS)
+    kind, style = F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.lit(STYLES.get(i, "")) for i in range(len(KINDS))])
+    temperature = F.when(F.col("n_regionkey") == 1, 0.5)
+    profiles = read_table(spark, sf, "nation").select(
+        F.concat_ws("_", F.get(kind, rule.cast("int")), "n_nationkey").alias("profile_name"), F.get(style, rule.cast("int")).alias("style_kind"),
+        F.length(planning.request_body(model, F.col("n_name"), F.lit(""), temperature)).alias("frame_length"),
+    )
+    passages = docs.select("doc_id", "text", planning.message_length(message).alias("message_length"))
+    grid = planning.profile_grid(passages, profiles, profiles.columns)
+    estimate = planning.output_estimate(F.col("profile_name"), F.col("style_kind"), F.col("text"), F.col("text"))
+    factors = F.broadcast(planning.token_calibration(runs).select("median_factor", "p90_factor"))  # one row
+    size = F.col("frame_length") + F.col("message_length")
+    return grid.crossJoin(factors).select(
+        "doc_id", "profile_name", estimate["basis"].alias("basis"),
+        planning.calibrated_tokens(size, F.col("median_factor")).alias("expected_input_tokens"),
+        planning.calibrated_tokens(size, F.col("p90_factor")).alias("high_input_tokens"),
+        estimate["expected_output_tokens"].alias("expected_output_tokens"),
+    )
+
+
 @query("request_text", f"SELECT doc_id, md5({REQUEST}) AS body_md5, greatest(1, ceil(length(text) / 4.0::DOUBLE))::BIGINT AS rough FROM documents")
 def request_text(spark, sf):
     docs = read_table(spark, sf, "documents").repartition("doc_id")

@@ -136,3 +136,25 @@ def test_migration_refuses_swapped_keys(spark, tmp_path):
     with pytest.raises(tables.CheckFailed):
         tables.write_checked(doubled, str(tmp_path / "bad"), expected)
     assert list(tmp_path.iterdir()) == []
+
+
+def test_calibration_counts_finished_runs_and_has_defaults(spark):
+    schema = "run_id long, request_body string, input_tokens int, status string, completed_at int"
+    rows = [(1, "x" * 40, 10, "completed", 1), (2, "x" * 40, 20, "approved", 2), (3, "x" * 40, 900, "failed", 3), (4, None, 5, "completed", 4), (5, "x", 0, "completed", 5)]
+    found = planning.token_calibration(spark.createDataFrame(rows, schema)).first()
+    assert (found.sample_runs, found.median_factor, found.p90_factor) == (2, 1.5, 2.0)
+    none = planning.token_calibration(spark.createDataFrame(rows[2:], schema)).first()
+    assert (none.sample_runs, none.median_factor, none.p90_factor) == (0, 1.0, 1.2)
+
+
+def test_a_body_is_its_frame_and_its_message(spark):
+    texts = ["", None, 'a "quoted" \\ line\n\ttab', "λόγος 漢字", "x" * 1000, "\u0001"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, m string")
+    model, prompt = F.lit("m"), F.lit('say "it"')
+    whole = planning.request_body(model, prompt, F.col("m"))
+    parts = F.length(planning.request_body(model, prompt, F.lit(""))) + planning.message_length(F.col("m"))
+    for r in df.select("m", whole.alias("body"), parts.alias("parts")).collect():
+        assert r.parts == len(r.body)
+        body = json.loads(r.body)
+        assert body["messages"] == [{"role": "system", "content": 'say "it"'}, {"role": "user", "content": r.m or ""}]
+        assert (body["temperature"], body["top_p"]) == (1.0, 1.0)
