@@ -37,10 +37,10 @@ def t_tail_sql(t: str, df: str) -> str:
     return f"greatest(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END, 0)"
 
 
-def corr_p_sql(r: str, df: str) -> str:
+def corr_p_sql(r: str, df: str, places: int = 6) -> str:
     gap = f"((1 - {r}) * (1 + {r}))"
     tail = t_tail_sql(f"({r} * sqrt({df} / {gap}))", df)
-    return f"CASE WHEN {r} IS NOT NULL AND {df} > 0 THEN CASE WHEN {gap} > 0 THEN abs(round({tail}, 6)) ELSE 0 END END"
+    return f"CASE WHEN {r} IS NOT NULL AND {df} > 0 THEN CASE WHEN {gap} > 0 THEN abs(round({tail}, {places})) ELSE 0 END END"
 
 
 def normal_tail_sql(z: str) -> str:
@@ -370,7 +370,7 @@ def association(spark, sf):
 ASSOCIATION_COLUMNS = ("pearson_r", "spearman_rho", "kendall_tau", "pearson_p", "spearman_p", "kendall_p")
 
 
-def association_p_sql(head: str, keys: str, x: str, y: str) -> str:
+def association_p_sql(head: str, keys: str, x: str, y: str, places: int = 6) -> str:
     """All correlations of a table ``src`` (keys, x, y, row_no) with p; Kendall's is the normal one, for samples with ties."""
     ties = ", ".join(
         f"""t_{side} AS (SELECT {keys}, sum(t * (t - 1) * (2 * t + 5))::DOUBLE AS c1_{side}, sum(t * (t - 1) * (t - 2))::DOUBLE AS c0_{side}
@@ -387,7 +387,7 @@ def association_p_sql(head: str, keys: str, x: str, y: str) -> str:
     CASE WHEN pairs > tx AND pairs > ty AND {variance} > 0 THEN (c - d) / sqrt({variance}) END AS z
     FROM corrs LEFT JOIN tau USING ({keys}) JOIN t_x USING ({keys}) JOIN t_y USING ({keys}))
   SELECT {keys}, n, round(p, 6) AS pearson_r, round(s, 6) AS spearman_rho, round(k, 6) AS kendall_tau,
-    {corr_p_sql('p', 'df')} AS pearson_p, {corr_p_sql('s', 'df')} AS spearman_p,
+    {corr_p_sql('p', 'df', places)} AS pearson_p, {corr_p_sql('s', 'df', places)} AS spearman_p,
     CASE WHEN z IS NOT NULL THEN abs(round({normal_tail_sql('z')}, 6)) END AS kendall_p FROM parts"""
 
 
@@ -576,8 +576,8 @@ def _daily(spark, sf):
     )
 
 
-EXACT_SQL = f"""WITH RECURSIVE {DAILY_SQL},
-  groups AS (SELECT grp, n, list(x2 ORDER BY x2) AS xs, list_distinct(list(x2 ORDER BY x2)) AS u, list(y2 ORDER BY y2) AS ys, sum(x2 * y2)::BIGINT AS observed
+#: Every ordering of a table ``ranked`` (grp, n, x2, y2), one by one.
+EXACT_BODY = """  groups AS (SELECT grp, n, list(x2 ORDER BY x2) AS xs, list_distinct(list(x2 ORDER BY x2)) AS u, list(y2 ORDER BY y2) AS ys, sum(x2 * y2)::BIGINT AS observed
     FROM ranked GROUP BY grp, n HAVING count(DISTINCT x2) > 1 AND count(DISTINCT y2) > 1),
   sample AS (SELECT grp, n, ys, observed, list_sort(u) AS levels, list_transform(list_sort(u), lambda v: len(list_filter(xs, lambda x: x = v))) AS counts FROM groups),
   walk AS (
@@ -589,6 +589,8 @@ EXACT_SQL = f"""WITH RECURSIVE {DAILY_SQL},
   SELECT s.grp, s.n, count(*) AS orderings, round(count(*) FILTER (total >= observed) / count(*), 6) AS p_one_sided,
     round(count(*) FILTER (abs(total - s.n * (s.n + 1) ^ 2) >= abs(observed - s.n * (s.n + 1) ^ 2)) / count(*), 6) AS p_two_sided
   FROM walk w JOIN sample s ON s.grp = w.grp AND w.pos = s.n + 1 GROUP BY ALL"""
+EXACT_SQL = f"""WITH RECURSIVE {DAILY_SQL},
+  {EXACT_BODY}"""
 
 
 @query("perm_exact", EXACT_SQL)
