@@ -70,9 +70,12 @@ def metric_tests(
     )
     described = staged(described)
     usable = rated.join(described.where("available").select(*sample), sample, "left_semi")
-    tests = assoc.association(usable, sample, rating, score, with_p=True).drop("n", "pearson_r", "pearson_p")
-    exact = resampling.permutation_p(usable, sample, row, rating, score, **limits).select(
-        *sample, "orderings", F.col("p_two_sided").alias("permutation_p")
+    # Both plans are long: a row per sample is written, so that they are not planned together.
+    tests = staged(assoc.association(usable, sample, rating, score, with_p=True).drop("n", "pearson_r", "pearson_p"))
+    exact = staged(
+        resampling.permutation_p(usable, sample, row, rating, score, **limits).select(
+            *sample, "orderings", F.col("p_two_sided").alias("permutation_p")
+        )
     )
     shown = [F.when(F.col("available"), F.col(c)).alias(c) for c in ("mean", "min", "max")]
     return described.select(*sample, "n", "available", *shown).join(tests, sample, "left").join(exact, sample, "left")
@@ -121,8 +124,8 @@ def primary_evidence(
     paired = staged(
         rows.where(F.col(rating).isNotNull() & F.col(divergence).isNotNull()).select(*keys, row, rating, divergence)
     )
-    out = assoc.association(paired, keys, rating, divergence, with_p=True, pairs=True)
-    chance = resampling.permutation_p(paired, keys, row, rating, divergence, **limits)
+    out = staged(assoc.association(paired, keys, rating, divergence, with_p=True, pairs=True))
+    chance = staged(resampling.permutation_p(paired, keys, row, rating, divergence, **limits))
     error = ranks.prediction_ranks(paired, keys, rating, divergence).groupBy(*keys).agg(
         F.avg("absolute_rank_error").alias("mean_absolute_rank_error")
     )

@@ -40,7 +40,7 @@ def t_tail_sql(t: str, df: str) -> str:
 def corr_p_sql(r: str, df: str, places: int = 6) -> str:
     gap = f"((1 - {r}) * (1 + {r}))"
     tail = t_tail_sql(f"({r} * sqrt({df} / {gap}))", df)
-    return f"CASE WHEN {r} IS NOT NULL AND {df} > 0 THEN CASE WHEN {gap} > 0 THEN abs(round({tail}, {places})) ELSE 0 END END"
+    return f"CASE WHEN {r} IS NOT NULL AND {df} > 0 THEN CASE WHEN {gap} > 1e-14 THEN abs(round({tail}, {places})) ELSE 0 END END"
 
 
 def normal_tail_sql(z: str) -> str:

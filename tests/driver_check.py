@@ -65,8 +65,9 @@ def compare(spark, con, folder, name):
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if a == b:
         return f"ok rows={len(a)} {spent:.1f}s duck={duck_spent:.1f}s", True
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:3]
+    only_b = [r for r in b if r not in in_a][:3]
     return f"DIFF {len(a)} vs {len(b)} cols={sorted(columns)}\n   spark {only_a}\n   duck  {only_b}", False
 
 
