@@ -187,3 +187,17 @@ def test_text_expressions(spark):
     assert (rows[1].s, rows[3].s) == ("abc-def", "set")
     assert (rows[5].h3, rows[5].h5, rows[5].w) == (2, 3, 2)
     assert (rows[1].k, rows[4].k) == (3, 75)
+
+
+def test_no_gram_is_a_row(spark):
+    """Counts are found where the pair is: no explode, no window and one shuffle."""
+    pairs = spark.createDataFrame(PAIRS, "pair_id int, candidate string, reference string")
+    for score in (lexical.bleu4, lexical.chrfpp, lexical.meteor, lexical.char_ngram_f1, lexical.ngram_scores):
+        plan = score(pairs, "pair_id")._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and plan.count("Exchange") == 1, score
+
+
+def test_word_lists_travel_as_text():
+    assert lexical._words("") == lexical._words(None) == [] and lexical._words("a b") == ["a", "b"]
+    assert lexical._clipped("aab", "ab", [1, 2]) == [2, 3, 2, 1, 2, 1]
+    assert lexical._aligned([["a", "b", "c"]], [["b", "c", "a"]]) == (3, 2)
