@@ -39,9 +39,9 @@ LONGEST = 3
 BITS = 21
 MASK = (1 << BITS) - 1
 #: A shard hands over its grams when it holds so many, whatever is left of its partition.
-SHARD_GRAMS = 2_000_000
+SHARD_GRAMS = 1_000_000
 #: Grams of all shards together that one owner of a range unites.
-RANGE_GRAMS = 3_000_000
+RANGE_GRAMS = 1_500_000
 #: Grams looked at to choose the cuts, and those that a shard offers.
 SAMPLE, OFFERED = 50_000, 256
 #: Occurrences of a candidate.
