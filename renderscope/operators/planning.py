@@ -110,10 +110,19 @@ def at_least_one(value: Column) -> Column:
     return F.greatest(F.coalesce(value, F.lit(1)), F.lit(1))
 
 
+def estimate_sizes(source: Column, translation: Column) -> tuple[Column, Column]:
+    """Rough tokens of a source, and of the larger of it and its translation."""
+    source_tokens = rough_tokens(source, 2.6)
+    return source_tokens, F.greatest(rough_tokens(translation, 4.0), source_tokens)
+
+
 def output_estimate(name: Column, style: Column, source: Column, translation: Column) -> dict[str, Column]:
     """Expected, low and high output tokens and the rule they come from."""
-    source_tokens = rough_tokens(source, 2.6)
-    base = F.greatest(rough_tokens(translation, 4.0), source_tokens)
+    return sized_estimate(name, style, *estimate_sizes(source, translation))
+
+
+def sized_estimate(name: Column, style: Column, source_tokens: Column, base: Column) -> dict[str, Column]:
+    """The same from ``estimate_sizes``, so that a grid of passages and profiles carries no text."""
     lowered, kind = F.lower(name), F.lower(style)
     expected = basis = None
     for parts, styles, floor, factor, on, label in OUTPUT_RULES:
@@ -244,13 +253,15 @@ def token_calibration(runs: DataFrame, *, k: int = 2000) -> DataFrame:
     """Median and rounded-up-index p90 of actual over estimated tokens, newest k runs with a request.
 
     Where runs have a ``status``, finished ones alone count. Without any run the
-    one row says 0 runs and the default factors.
+    one row says 0 runs and the default factors.  Bodies are measured once; from
+    there on a run is a few numbers.
     """
-    usable = runs.where((F.col("input_tokens") > 0) & F.col("request_body").isNotNull())
     if "status" in runs.columns:
-        usable = usable.where(F.col("status").isin(*FINISHED))
-    newest = latest_k(usable, "completed_at", "run_id", k)
-    estimated = F.greatest(F.lit(1), F.ceil(F.length("request_body") / F.lit(4.0)))
+        runs = runs.where(F.col("status").isin(*FINISHED))
+    sized = staged(runs.select("run_id", "completed_at", "input_tokens", F.length("request_body").alias("_length")))
+    usable = sized.where((F.col("input_tokens") > 0) & F.col("_length").isNotNull())
+    newest = staged(latest_k(usable, "completed_at", "run_id", k))
+    estimated = F.greatest(F.lit(1), F.ceil(F.col("_length") / F.lit(4.0)))
     ratios = newest.select(F.lit(1).alias("_all"), (F.col("input_tokens") / estimated).alias("ratio"))
     median = percentiles(ratios, ["_all"], "ratio", {"median": 0.5})
     high = percentiles(ratios, ["_all"], "ratio", {"p90": 0.9}, ceil_index=True)
