@@ -372,9 +372,12 @@ def cost_calibrated(spark, sf):
         F.concat_ws("_", F.get(kind, rule.cast("int")), "n_nationkey").alias("profile_name"), F.get(style, rule.cast("int")).alias("style_kind"),
         F.length(planning.request_body(model, F.col("n_name"), F.lit(""), temperature)).alias("frame_length"),
     )
-    passages = docs.select("doc_id", "text", planning.message_length(message).alias("message_length"))
+    sizes = dict(zip(("source_tokens", "base"), planning.estimate_sizes(F.col("text"), F.col("text"))))
+    passages = staged(  # numbers alone: no cell measures a text
+        docs.select("doc_id", planning.message_length(message).alias("message_length"), *[c.alias(n) for n, c in sizes.items()])
+    )
     grid = planning.profile_grid(passages, profiles, profiles.columns)
-    estimate = planning.output_estimate(F.col("profile_name"), F.col("style_kind"), F.col("text"), F.col("text"))
+    estimate = planning.sized_estimate(F.col("profile_name"), F.col("style_kind"), F.col("source_tokens"), F.col("base"))
     factors = F.broadcast(planning.token_calibration(runs).select("median_factor", "p90_factor"))  # one row
     size = F.col("frame_length") + F.col("message_length")
     return grid.crossJoin(factors).select(
