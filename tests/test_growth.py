@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from renderscope.functions import text as X
-from renderscope.operators import planning
+from renderscope.operators import planning, resampling
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -53,3 +53,13 @@ def test_grid_cells_carry_no_text(spark):
 @needs_tables
 def test_counts_are_joined_not_texts(spark):
     assert "text#" not in plan(entry.queries()["token_counts"](spark, FOLDER))
+
+
+def test_equal_cases_are_enumerated_once(spark):
+    """Samples of equal ranks are one case of the enumeration, whatever their number."""
+    rows = spark.range(1200).selectExpr("id % 300 AS grp", "id AS row", "id div 300 % 2 * 1.0D AS x", "id div 300 * (1.0D + id % 300) AS y")
+    ranked = resampling.doubled_ranks(rows, ["grp"], "row", "x", "y")
+    out = resampling._enumerated(ranked, ["grp"], 12, 10_000_000)
+    assert "Generate explode" not in plan(out)
+    assert {(r.n, r.orderings, round(r.p_one_sided, 9), round(r.p_two_sided, 9)) for r in out.collect()} == {(4, 6, round(2 / 6, 9), round(4 / 6, 9))}
+    assert out.count() == 300
