@@ -179,6 +179,18 @@ def test_tags_leave_the_stream(spark):
     assert newest == {3: "first", 4: "revision", 5: "revision", 6: "first", 7: "revision", 8: "first", 9: "first"}
 
 
+def test_keys_of_tags_do_not_follow_the_reviewers(spark):
+    stateful.use_rocksdb(spark)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "id long, reviewer string, passage_id long"
+    rows = [(i, f"r{i % 50}", i % 3) for i in range(300)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    tagged = stateful.tagged_saves(live.file_stream(spark, folder, schema), buckets=8)
+    query = live.keep_table(tagged, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), once=True)
+    query.awaitTermination()
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 8
+
+
 def test_sessions_close_and_state_shrinks(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     start, schema = datetime(2026, 1, 1), "reviewer string, created_at timestamp"
