@@ -107,6 +107,20 @@ def test_a_repeated_batch_changes_nothing(spark):
     assert found == [[(1, False), (3, False)], [(1, True), (2, False), (3, True)], [(1, True), (2, False), (3, True)]] * 2
 
 
+def test_a_batch_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("timestamp")
+    def seen(second):
+        read.add(1)
+        return datetime(2026, 1, 1) + timedelta(seconds=second)
+
+    batch = spark.range(40).select(F.lit("r").alias("reviewer"), "id", seen("id").alias("created_at"))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = live.with_neighbours(batch, folder, 0, ["reviewer"], "id", "created_at", ["created_at"], "1 day")
+    assert (rows.count(), rows.where("created_at is null").count(), read.value) == (40, 0, 40)
+
+
 def test_ingest_splits_good_from_bad(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     schema = "id long, passage_id string, rating string, exposure_json string"
