@@ -99,3 +99,13 @@ def test_traces_are_parsed_once(spark, monkeypatch):
     assert entry.queries()["timing_length_correlation"](spark, FOLDER).count() > 0
     firsts = entry.queries()["ratings_first"](spark, FOLDER).count()
     assert parsed.value == firsts
+
+
+def test_a_cell_joins_a_node_per_base_4_digit(spark, monkeypatch):
+    nodes, plain = [], association.running_totals
+    monkeypatch.setattr(association, "running_totals", lambda df, *rest: nodes.append(df.count()) or plain(df, *rest))
+    rows = spark.range(4096).selectExpr("1 AS g", "id AS x", "id * 1365 % 4096 AS y")
+    found = association.order_accuracy(rows, ["g"], "x", "y").first()
+    y = [i * 1365 % 4096 for i in range(4096)]
+    assert found.correct == sum(sum(v < w for v in y[:i]) for i, w in enumerate(y))
+    assert nodes == [4096 * 6]
