@@ -109,3 +109,11 @@ def test_a_cell_joins_a_node_per_base_4_digit(spark, monkeypatch):
     y = [i * 1365 % 4096 for i in range(4096)]
     assert found.correct == sum(sum(v < w for v in y[:i]) for i, w in enumerate(y))
     assert nodes == [4096 * 6]
+
+
+@needs_tables
+def test_no_pair_is_ordered_without_kendall(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(association, "running_totals", lambda *args: asked.append(args))
+    monkeypatch.setattr(association, "pair_order", lambda *args: asked.append(args))
+    assert entry.queries()["length_associations"](spark, FOLDER).count() == 8 and not asked
