@@ -117,3 +117,9 @@ def test_no_pair_is_ordered_without_kendall(spark, monkeypatch):
     monkeypatch.setattr(association, "running_totals", lambda *args: asked.append(args))
     monkeypatch.setattr(association, "pair_order", lambda *args: asked.append(args))
     assert entry.queries()["length_associations"](spark, FOLDER).count() == 8 and not asked
+
+
+@needs_tables
+def test_ratings_are_joined_once(spark):
+    """Rows that are ranked and then given their rank are on disk, not found twice."""
+    assert "events.parquet" not in str(entry.queries()["rank_error"](spark, FOLDER).inputFiles())
