@@ -1,12 +1,16 @@
 """Work that grows with the texts is done once a text."""
 
+import hashlib
 import os
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from renderscope.functions import digests
 from renderscope.functions import text as X
 from renderscope.operators import association, exposure, planning, ratings, resampling
 
@@ -123,3 +127,35 @@ def test_no_pair_is_ordered_without_kendall(spark, monkeypatch):
 def test_ratings_are_joined_once(spark):
     """Rows that are ranked and then given their rank are on disk, not found twice."""
     assert "events.parquet" not in str(entry.queries()["rank_error"](spark, FOLDER).inputFiles())
+
+
+def test_digests_are_those_of_hashlib():
+    for first, last in ((1, 120), (95, 1003), (32_769, 33_000)):
+        slots = digests.SlotDigests(first, last)
+        for heads in ([b"20260720:1:purchase:"], [b"7:10:\xc3\xa9:", b"7:11:\xc3\xa9:"], [b"", ], [b"x" * 49], [b"y" * 60, b"z" * 60]):
+            want = [[int(hashlib.md5(h + b"%d" % s).hexdigest()[:15], 16) for s in range(first, last + 1)] for h in heads]
+            assert slots.keys(heads).tolist() == want
+
+
+def test_picks_are_no_calls_of_a_row(monkeypatch):
+    """A resample of 2,000 rows asks for no digest of its own."""
+    monkeypatch.setattr(digests, "hashlib", None)
+    monkeypatch.setattr(resampling, "hashlib", None)
+    x = np.arange(2000.0)
+    row = {"group_key": "g", "n": 2000, "x": x.tobytes(), "y": (x % 7).tobytes(), "seed": 3, "first": 8, "last": 12, "each": 1000}
+    [out] = resampling._resampled_rho([pd.DataFrame([row])])
+    assert out.draw.tolist() == [8, 9, 10, 11, 12] and out.rho.abs().max() < 0.1
+
+
+def test_arrays_travel_as_often_as_tasks_need_them(spark):
+    """A large group is streamed, not collected as objects of a row, and goes to a few blocks of each task."""
+    rows = spark.range(30_000).selectExpr("'g' AS g", "id", "id % 11 AS x", "id * 7919 % 101 AS y")
+    steps = plan(resampling.bootstrap_spearman_ci(rows, ["g"], "id", "x", "y", draws=40))
+    assert "collect_list" not in steps
+    named = rows.selectExpr("g AS group_key", "id AS row", "x", "y")
+    [held] = resampling.gathered(named, ["x", "y"], "double").collect()
+    assert held.n == 30_000 and np.frombuffer(held.y, np.float64).tolist() == [i * 7919 % 101 for i in range(30_000)]
+    blocks = resampling.draw_blocks(spark.createDataFrame([("g", 460_000), ("h", 460_000)], "group_key string, n long"), 20_000)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks.count() <= resampling.BLOCKS_PER_TASK * width + 2
+    assert {r["sum(each)"] for r in blocks.groupBy("group_key").agg(F.expr("sum(last - first + 1) AS `sum(each)`")).collect()} == {20_000}
