@@ -1,8 +1,10 @@
 """Work that grows with the texts is done once a text."""
 
 import hashlib
+import itertools
 import os
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -159,3 +161,30 @@ def test_arrays_travel_as_often_as_tasks_need_them(spark):
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert blocks.count() <= resampling.BLOCKS_PER_TASK * width + 2
     assert {r["sum(each)"] for r in blocks.groupBy("group_key").agg(F.expr("sum(last - first + 1) AS `sum(each)`")).collect()} == {20_000}
+
+
+def test_dealt_draws_are_uniform_permutations():
+    """Sums of a small case as often as its 720 orderings have them, whatever the width of the keys."""
+    x, y = np.array([1, 1, 4, 4, 4, 7]), np.array([0, 2, 3, 5, 5, 9])
+    bounds = np.flatnonzero(x[1:] != x[:-1]) + 1
+    law = Counter(int(x @ np.array(p)) for p in itertools.permutations(y))
+    for bits in (1, 3, 8):
+        rng = np.random.Generator(np.random.SFC64(bits))
+        found = Counter(resampling._dealt_sum(rng, x, bounds, y, y + float(1 << 40), bits) for _ in range(20_000))
+        assert set(found) <= set(law)
+        assert sum((found[s] - w / 720 * 20_000) ** 2 / (w / 720 * 20_000) for s, w in law.items()) < 50  # 19 degrees of freedom
+
+
+def test_large_groups_are_dealt_not_shuffled():
+    """A side of few values needs only the rows around a change of value in order; the law's mean and spread stay."""
+    class Counted(np.random.Generator):
+        def permuted(self, *_, **__):
+            raise AssertionError("every value shuffled")
+
+        permutation = permuted
+
+    x, y = np.arange(30_000) * 7919 % 30_000, np.arange(30_000) % 11
+    sums = resampling._permuted(Counted(np.random.SFC64(5)), x, y, 400)
+    n, centre = len(x), x.sum() * y.mean()
+    spread = np.sqrt(x.var() * y.var() * n * n / (n - 1))
+    assert abs(sums.mean() - centre) < 4 * spread / 20 and 0.85 < sums.std() / spread < 1.15
